@@ -6,7 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pathweave.operators import bad_rows, hierarchy, packed_fields
+from pathweave.runtime import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_fields.split_fields(table(spark, sf_dir, "uniprot_entries"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bad_rows.failing_lines(table(spark, sf_dir, "mapping_lines"), table(spark, sf_dir, "db_registry"))
+
+
+def p3_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = bad_rows.parse_lines(table(spark, sf_dir, "mapping_lines"), table(spark, sf_dir, "db_registry"))
+    return lines.filter("reason is null").select("line_id", "src_db", "src_id", "dst_db", "dst_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.hierarchies(table(spark, sf_dir, "pathway_index"))
+
+
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.descendants(table(spark, sf_dir, "pathway_index"))
+
+
+QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_loaded": p3_loaded,
+    "p5_found": p5_found,
+    "p5_descendants": p5_descendants,
+}
 SQL: dict[str, str] = {}
