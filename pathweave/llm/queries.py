@@ -5,17 +5,53 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pathweave.llm import grouping
-from pathweave.runtime import ship, table
+from pathweave.llm import canonical, grouping, mojibake, packing, tokenizer
+from pathweave.runtime import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.group_records(table(spark, sf_dir, "mappings"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.map_submissions(table(spark, sf_dir, "mapping_submissions"), table(spark, sf_dir, "db_registry"))
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p7_pack_2048(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(tokenizer.count_tokens(table(spark, sf_dir, "documents")), 2048)
+
+
+def p7_pack_8192(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(tokenizer.count_tokens(table(spark, sf_dir, "documents")), 8192)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used and the share of their room that is filled, for both capacities."""
+    out = None
+    for capacity, packed in ((2048, p7_pack_2048(spark, sf_dir)), (8192, p7_pack_8192(spark, sf_dir))):
+        row = packed.agg((F.max("container") + 1).alias("containers"), F.sum("n_tokens").alias("tokens")).select(F.lit(capacity).alias("capacity"), "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * capacity), 4).alias("filled"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p4_found": p4_found,
+    "p6_ids": p6_ids,
+    "p7_pack_2048": p7_pack_2048,
+    "p7_pack_8192": p7_pack_8192,
+    "p7_fill": p7_fill,
+    "p8_found": p8_found,
 }
 
 SQL: dict[str, str] = {}
