@@ -131,5 +131,14 @@ def filled(c: Column | str) -> Column:
     return F.when(s != "", s)
 
 
+def once(df: DataFrame, *columns: Column) -> DataFrame:
+    """df.select(columns), each evaluated once a row: what is built on them refers to their values.
+
+    Stacked projections are merged by the optimizer and filters pushed below them, and an expression used in several places of the
+    next step would be evaluated in each; a generator between the steps stays where it is.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
