@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathweave.functions.ids import fix_id_for_mapping
-from pathweave.runtime import HEAVY, Scratch, filled, lookup
+from pathweave.runtime import BLANKS, HEAVY, Scratch, lookup, once
 
 #: Mean shift, in hops: large against the hops of a level, so that few waves meet and clusters are as large as the hops allow.
 MEAN_SHIFT = 32.0
@@ -101,11 +101,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, hops: int = HOPS) -
 
 
 def records_of(mappings: DataFrame) -> DataFrame:
-    """The valid rows' records: a and b, each as ``db|id``. Rows with a null or blank cell among the four are left out."""
-    d1, i1, d2, i2 = (filled(c) for c in ("src_db", "src_id", "dst_db", "dst_id"))
-    rows = mappings.select(F.upper(d1).alias("d1"), i1.alias("i1"), F.upper(d2).alias("d2"), i2.alias("i2")).dropna()
-    fixed = rows.select("d1", fix_id_for_mapping("d1", "i1", kegg_suffix=False).alias("r1"), "d2", fix_id_for_mapping("d2", "i2", kegg_suffix=False).alias("r2"))
-    return fixed.select(F.struct(F.col("d1").alias("db"), F.col("r1").alias("id")).alias("a"), F.struct(F.col("d2").alias("db"), F.col("r2").alias("id")).alias("b"))
+    """(d1, r1, d2, r2): the databases and ids of the rows' two records. Rows with a null or blank cell among the four are left out."""
+    cells = once(mappings, *(F.btrim(c, F.lit(BLANKS)).alias(c) for c in ("src_db", "src_id", "dst_db", "dst_id")))
+    rows = cells.filter("src_db <> '' and src_id <> '' and dst_db <> '' and dst_id <> ''")
+    upper = once(rows, F.upper("src_db").alias("d1"), F.col("src_id").alias("i1"), F.upper("dst_db").alias("d2"), F.col("dst_id").alias("i2"))
+    return once(upper, F.col("d1"), fix_id_for_mapping("d1", "i1", kegg_suffix=False).alias("r1"), F.col("d2"), fix_id_for_mapping("d2", "i2", kegg_suffix=False).alias("r2"))
 
 
 def group_records(mappings: DataFrame) -> DataFrame:
@@ -122,9 +122,10 @@ def group_records(mappings: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "groups")
     pairs = records_of(mappings)
     for seed in range(8):
-        key = lambda r, s=seed: F.xxhash64(F.lit(s), F.col(f"{r}.db"), F.lit("|"), F.col(f"{r}.id"))
-        rows = pairs.select(F.inline(F.array(F.struct(key("a").alias("v"), F.col("a.db").alias("rec_db"), F.col("a.id").alias("rec_id")), F.struct(key("b").alias("v"), F.col("b.db").alias("rec_db"), F.col("b.id").alias("rec_id")))))
-        vertices, v_path = scratch.write(rows.distinct())
+        key = lambda db, id_, s=seed: F.xxhash64(F.lit(s), F.col(db), F.lit("|"), F.col(id_))
+        both = F.array(*(F.struct(F.col(d).alias("rec_db"), F.col(i).alias("rec_id")) for d, i in (("d1", "r1"), ("d2", "r2"))))
+        records = pairs.select(F.inline(both)).distinct()
+        vertices, v_path = scratch.write(records.select(key("rec_db", "rec_id").alias("v"), "rec_db", "rec_id"))
         clash = vertices.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
         if clash:
             break
@@ -132,8 +133,8 @@ def group_records(mappings: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("no seed keeps the records' 64-bit hashes apart")
     scratch.release()
-    a, b = key("a"), key("b")
-    edges = pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
+    ends = once(pairs, key("d1", "r1").alias("x"), key("d2", "r2").alias("y")).filter("x <> y")
+    edges = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     comp = connected_components(edges, scratch)
     if comp is None:
         return vertices.select("rec_db", "rec_id", F.concat_ws("|", "rec_db", "rec_id").alias("group_key"))
