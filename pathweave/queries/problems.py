@@ -1,4 +1,4 @@
-"""The core's queries: name -> callable(spark, sf_dir), and the SQL that says the same."""
+"""Queries of the general problems, over the whole tables, with production parameters."""
 
 from __future__ import annotations
 
