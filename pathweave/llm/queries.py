@@ -54,4 +54,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
 }
 
-SQL: dict[str, str] = {}
+_FIX = """case when {db} like 'UNIPROT%' then regexp_replace({id}, '-[0-9]+$', '') when {db} = 'CHEBI' then case when upper({id}) like 'CHEBI:%' then upper({id}) else 'CHEBI:' || upper({id}) end
+ when {db} = 'REFSEQ' then regexp_replace({id}, '\\.[0-9]+$', '') when {db} like 'KEGG%' and regexp_full_match({id}, ':[0-9]+') then substr({id}, 2)
+ when {db} like '%PUBCHEM%' and ({db} like '%SUBSTANCE%' or {db} like '%SID%') then case when regexp_full_match({id}, '[0-9]+') then 'SID:' || {id} else upper({id}) end
+ when {db} like '%PUBCHEM%' and ({db} like '%COMPOUND%' or {db} like '%CID%') then case when regexp_full_match({id}, '[0-9]+') then 'CID:' || {id} else upper({id}) end else {id} end"""
+#: Connected components by the spread of the least record; the other problems can't be said in SQL.
+SQL: dict[str, str] = {
+    "p1_found": f"""with recursive x as (select upper(trim(src_db)) as d1, trim(src_id) as i1, upper(trim(dst_db)) as d2, trim(dst_id) as i2 from mappings where trim(src_db) <> '' and trim(src_id) <> '' and trim(dst_db) <> '' and trim(dst_id) <> ''),
+ p as (select d1, {_FIX.format(db="d1", id="i1")} as r1, d2, {_FIX.format(db="d2", id="i2")} as r2 from x),
+ v as (select d1 as db, r1 as id from p union select d2, r2 from p), e as (select d1 || '|' || r1 as a, d2 || '|' || r2 as b from p union select d2 || '|' || r2, d1 || '|' || r1 from p),
+ cc(rec, least) using key (rec) as (select distinct db || '|' || id, db || '|' || id from v
+  union select e.b, min(cc.least) from cc join e on e.a = cc.rec join recurring.cc as u on u.rec = e.b where cc.least < u.least group by e.b)
+ select v.db as rec_db, v.id as rec_id, cc.least as group_key from v join cc on cc.rec = v.db || '|' || v.id""",
+}
