@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathweave.functions.text import Direction, Format, Graph, parse_enum, split_arguments
-from pathweave.model import INVERSES, Model, closure
+from pathweave.model import INVERSES, Model, closure, subtypes
 from pathweave.operators import entities, graph, interactions, search
 from pathweave.plans.paths import traverse
 from pathweave.sinks import flat
 
+#: What graph queries start from when they are given reference ids.
+SEEDS = ("PhysicalEntity", "Gene")
 ANALYSES: dict[str, Callable[..., object]] = {}
 
 
@@ -64,15 +66,18 @@ class Service:
     page_size: int = search.PAGE
     names: DataFrame | None = field(default=None)
 
-    def resolve(self, *ids: str) -> DataFrame:
-        """JOI18: (group_id, uri): each id's elements, itself where it is a uri, else those with it as a reference id."""
+    def resolve(self, *ids: str, kinds: tuple[str, ...] = ()) -> DataFrame:
+        """JOI18: (group_id, uri): each id's elements, itself where it is a uri, else those with it as a reference id, of these classes."""
         wanted = split_arguments(*ids)
         if not wanted:
             raise BadRequest("no id")
         spark = self.model.elements.sparkSession
         asked = spark.createDataFrame([(i, v) for i, v in enumerate(wanted)], "group_id int, id string")
         known = asked.join(self.model.elements.select(F.col("uri").alias("id")), "id", "left_semi").select("group_id", F.col("id").alias("uri"))
-        x = self.documents.select("uri", F.explode("xref_ids").alias("id"))
+        docs = self.documents
+        if kinds:
+            docs = docs.filter(F.col("type").isin([t for k in kinds if k in self.model.classes for t in subtypes(k, self.model.classes)]))
+        x = docs.select("uri", F.explode("xref_ids").alias("id"))
         by_id = asked.join(known.select("group_id"), "group_id", "left_anti").join(x, "id").select("group_id", "uri")
         return known.unionByName(by_id).distinct()
 
@@ -106,7 +111,7 @@ class Service:
         way = parse_enum(Direction, direction) if direction else None
         if k is None or limit < 1 or not source or (direction and way is None):
             raise BadRequest("kind, source, limit or direction is wrong")
-        seeds, e = self.resolve(*source), self.model.edges
+        seeds, e = self.resolve(*source, kinds=SEEDS), self.model.edges
         if k is Graph.NEIGHBORHOOD:
             return graph.neighborhood(e, seeds, limit, way or Direction.UNDIRECTED, self.blacklist)
         if k is Graph.COMMONSTREAM:
@@ -115,7 +120,7 @@ class Service:
             return graph.common_stream(e, seeds, limit, way or Direction.DOWNSTREAM, self.blacklist)
         if k is Graph.PATHSBETWEEN or not target:
             return graph.paths_between(e, seeds, limit, self.blacklist)
-        return graph.paths_from_to(e, seeds, self.resolve(*target), limit, shortest_plus, self.blacklist)
+        return graph.paths_from_to(e, seeds, self.resolve(*target, kinds=SEEDS), limit, shortest_plus, self.blacklist)
 
     def convert(self, m: Model, format_: str, refs: DataFrame | None = None) -> DataFrame:
         """SNK2-SNK9, FIL19: lines of a sub-model in a format; pathways are left out of all but BioPAX and JSON-LD."""
