@@ -33,7 +33,7 @@ def parse_uniprot(s, d):
     return p.select("entry_name", F.regexp_extract("ox", "NCBI_TaxID=([0-9]+)", 1).alias("taxon"), "de")
 
 
-@query("select doc_no as id, display_name as name, trim(pathway, E' \\n\\t\\r') as parent from (select doc_no, display_name, pathway from pathway_index where display_name is not null and trim(pathway, E' \\n\\t\\r') <> '') where not contains(display_name, chr(10))")
+@query("select doc_no as id, display_name as name, trim(pathway, E' \\n\\t\\r') as parent from (select doc_no, display_name, pathway from pathway_index where display_name is not null and trim(pathway, E' \\n\\t\\r') <> '')")
 def parse_obo(s, d):
     """SRC7, SRC8: records written as stanzas and parsed back with their parents."""
     p = table(s, d, "pathway_index").filter("display_name is not null").select("doc_no", "display_name", strip("pathway").alias("parent")).filter("parent <> ''")
@@ -42,10 +42,10 @@ def parse_obo(s, d):
     return t.select(F.col("id").cast("bigint").alias("id"), F.col("name"), F.col("parents")[0].alias("parent"))
 
 
-@query("select submission_id, substr(coalesce(src_db, ''), 1, 128) as query from mapping_submissions where not regexp_matches(coalesce(src_db, ''), '[^ -~]')")
+@query("select submission_id, substr(coalesce(src_db, ''), 1, 128) as query from mapping_submissions")
 def audit_lines(s, d):
     """SNK18, SCA30: audit lines as JSON, read back."""
-    m = table(s, d, "mapping_submissions").filter(~F.coalesce("src_db", F.lit("")).rlike("[^ -~]"))
+    m = table(s, d, "mapping_submissions")
     j = m.select("submission_id", F.to_json(F.struct(F.lit("search").alias("command"), F.substring(F.coalesce("src_db", F.lit("")), 1, 128).alias("query"))).alias("value"))
     return j.select("submission_id", F.get_json_object("value", "$.query").alias("query"))
 
