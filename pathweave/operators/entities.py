@@ -186,3 +186,30 @@ def shortest_name(name: Column) -> Column:
     """SRT5: of a group's names the shortest, the first of equally long ones; truncated names ("...") only if there are no others."""
     cut = name.rlike(r"\.\.\.$")
     return F.min_by(name, F.struct(cut.cast("int"), F.length(name), name))
+
+
+def normalize_generics(edges: DataFrame) -> DataFrame:
+    """GRA11: edges with an entity reference for every generic (an entity with memberPhysicalEntity) that lacks one: it has its members'
+    references as members and is named by the generic's md5."""
+    members = edges.filter("prop = 'memberPhysicalEntity'").select(F.col("src").alias("generic"), F.col("dst").alias("pe"))
+    refs = edges.filter("prop = 'entityReference'").select(F.col("src").alias("pe"), F.col("dst").alias("er"))
+    bare = members.join(refs.select(F.col("pe").alias("generic")), "generic", "left_anti")
+    found = bare.join(refs, "pe").select("generic", F.concat(F.lit("EntityReference_"), F.md5("generic")).alias("new"), "er").distinct()
+    own = found.select(F.col("generic").alias("src"), F.lit("entityReference").alias("prop"), F.col("new").alias("dst")).distinct()
+    below = found.select(F.col("new").alias("src"), F.lit("memberEntityReference").alias("prop"), F.col("er").alias("dst"))
+    return edges.select("src", "prop", "dst").unionByName(own).unionByName(below)
+
+
+def organism_labels(elements: DataFrame, xrefs: DataFrame, names: DataFrame) -> DataFrame:
+    """HLP3: (uri, label): an organism's references (uri, db, id), else its names (uri, name), sorted and joined; null without either."""
+    x = xrefs.groupBy("uri").agg(sorted_join(F.concat_ws(":", "db", "id")).alias("x"))
+    n = names.groupBy("uri").agg(sorted_join("name").alias("n"))
+    return elements.select("uri").join(x, "uri", "left").join(n, "uri", "left").select("uri", F.coalesce("x", "n").alias("label"))
+
+
+def source_summary(elements: DataFrame, classes: dict[str, str]) -> DataFrame:
+    """AGG3: (datasource, num_pathways, num_interactions, num_physical_entities)."""
+    from pathweave.model import subtypes
+
+    kinds = {"num_pathways": subtypes("Pathway", classes), "num_interactions": subtypes("Interaction", classes), "num_physical_entities": subtypes("PhysicalEntity", classes) + (["Gene"] if "Gene" in classes else [])}
+    return elements.groupBy("datasource").agg(*(F.count_if(F.col("type").isin(v)).alias(k) for k, v in kinds.items()))

@@ -30,6 +30,11 @@ def projected(edges: DataFrame, direction: Direction = Direction.DOWNSTREAM, bla
     return e.select("src", "dst")
 
 
+def _kept(edges: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """Edges that several hops read, written once: their filters are then not evaluated again for each hop."""
+    return scratch.write(edges)[0] if limit > 1 else edges
+
+
 def distances(edges: DataFrame, seeds: DataFrame, limit: int, scratch: Scratch, key: str | None = None) -> DataFrame:
     """(uri, dist) of all nodes within limit hops of seeds (uri), seeds at 0; with key, of each group of seeds by itself."""
     keys = [key] if key else []
@@ -49,9 +54,9 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, limit: int = 1, direction:
     """GRA1: (uri, dist) within limit hops of any seed. BOTHSTREAM is the union of upstream and downstream, each by itself."""
     scratch = Scratch(edges.sparkSession, "hood")
     if direction is Direction.BOTHSTREAM:
-        both = [distances(projected(edges, d, blacklist, allowed), seeds, limit, scratch) for d in (Direction.UPSTREAM, Direction.DOWNSTREAM)]
+        both = [distances(_kept(projected(edges, d, blacklist, allowed), limit, scratch), seeds, limit, scratch) for d in (Direction.UPSTREAM, Direction.DOWNSTREAM)]
         return both[0].unionByName(both[1]).groupBy("uri").agg(F.min("dist").alias("dist"))
-    return distances(projected(edges, direction, blacklist, allowed), seeds, limit, scratch)
+    return distances(_kept(projected(edges, direction, blacklist, allowed), limit, scratch), seeds, limit, scratch)
 
 
 def paths_from_to(edges: DataFrame, sources: DataFrame, targets: DataFrame, limit: int, shortest_plus: int | None = None, blacklist: DataFrame | None = None) -> DataFrame:
@@ -60,7 +65,7 @@ def paths_from_to(edges: DataFrame, sources: DataFrame, targets: DataFrame, limi
     With shortest_plus k, only walks of the shortest length found plus k. No source gives no node; without targets use paths_between.
     """
     scratch = Scratch(edges.sparkSession, "paths")
-    e = projected(edges, Direction.DOWNSTREAM, blacklist)
+    e = _kept(projected(edges, Direction.DOWNSTREAM, blacklist), limit, scratch)
     ahead = distances(e, sources, limit, scratch).select("uri", F.col("dist").alias("f"))
     behind = distances(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), targets, limit, scratch).select("uri", F.col("dist").alias("b"))
     on = ahead.join(behind, "uri").select("uri", (F.col("f") + F.col("b")).alias("through")).filter(F.col("through") <= limit)
@@ -73,7 +78,7 @@ def paths_from_to(edges: DataFrame, sources: DataFrame, targets: DataFrame, limi
 def paths_between(edges: DataFrame, seeds: DataFrame, limit: int, blacklist: DataFrame | None = None) -> DataFrame:
     """GRA2: (uri, through) of the nodes on directed walks of at most limit hops from one group of seeds (group_id, uri) to another."""
     scratch = Scratch(edges.sparkSession, "between")
-    e = projected(edges, Direction.DOWNSTREAM, blacklist)
+    e = _kept(projected(edges, Direction.DOWNSTREAM, blacklist), limit, scratch)
     ahead = distances(e, seeds, limit, scratch, "group_id").select(F.col("group_id").alias("g"), "uri", F.col("dist").alias("f"))
     behind = distances(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds, limit, scratch, "group_id").select(F.col("group_id").alias("h"), "uri", F.col("dist").alias("b"))
     # of each side the two nearest groups suffice: the best pair of different groups is among them
@@ -94,7 +99,7 @@ def common_stream(edges: DataFrame, seeds: DataFrame, limit: int, direction: Dir
     distinct = seeds.groupBy("group_id").agg(F.sort_array(F.collect_set("uri")).alias("members")).groupBy("members").agg(F.min("group_id").alias("group_id"))
     groups, _ = scratch.write(distinct.select("group_id", F.explode("members").alias("uri")))
     n = groups.select("group_id").distinct().count()
-    d = distances(projected(edges, direction, blacklist), groups, limit, scratch, "group_id")
+    d = distances(_kept(projected(edges, direction, blacklist), limit, scratch), groups, limit, scratch, "group_id")
     return d.groupBy("uri").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("dist")).filter(F.col("n") == n).select("uri", "dist")
 
 
@@ -111,6 +116,7 @@ def fetch_closure(edges: DataFrame, seeds: DataFrame, depth: int | None = None,
     if into is not None:
         e = e.join(into.select(F.col("uri").alias("dst")), "dst", "left_semi").select("src", "dst")
     scratch = Scratch(edges.sparkSession, "closure")
+    e = _kept(e, most if depth is None else depth, scratch)
     return distances(e, seeds, most if depth is None else depth, scratch)
 
 

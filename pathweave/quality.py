@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.functions.text import parse_enum  # noqa: F401  request checks use it
 from pathweave.model import Model
 from pathweave.runtime import filled
 

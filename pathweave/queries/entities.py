@@ -409,3 +409,28 @@ def rule_violations(s, d):
         Rule("dangling", T(s, d, "orders").select("o_orderkey").join(T(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select(B.uri("order", "o_orderkey").alias("uri")), F.lit(True)),
     ]
     return check(rules).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with g as (select 'generic:' || p_brand as src, 'memberPhysicalEntity' as prop, 'part:' || p_partkey as dst from part union all select 'part:' || p_partkey, 'entityReference', 'ref:' || p_type from part),
+n as (select distinct m.src as generic, 'EntityReference_' || md5(m.src) as new, r.dst as er from g m join g r on r.src = m.dst and r.prop = 'entityReference' where m.prop = 'memberPhysicalEntity')
+select src, prop, dst from g union all select distinct generic, 'entityReference', new from n union all select new, 'memberEntityReference', er from n""")
+def normalize_generics(s, d):
+    """GRA11: generics, here brands of parts, get an entity reference with their members' as members."""
+    p = T(s, d, "part")
+    m = p.select(F.concat(F.lit("generic:"), "p_brand").alias("src"), F.lit("memberPhysicalEntity").alias("prop"), B.uri("part", "p_partkey").alias("dst"))
+    r = p.select(B.uri("part", "p_partkey").alias("src"), F.lit("entityReference").alias("prop"), F.concat(F.lit("ref:"), "p_type").alias("dst"))
+    return E.normalize_generics(m.unionByName(r))
+
+
+@query(f"with {B.ELEMENT_SQL} select datasource, count(*) filter (where type = 'Pathway') as num_pathways, count(*) filter (where type = 'Interaction') as num_interactions, count(*) filter (where type in ('PhysicalEntity', 'Part')) as num_physical_entities from element group by datasource")
+def source_summary(s, d):
+    """AGG3: counts by class of each source."""
+    return E.source_summary(B.elements(s, d), B.PARENTS)
+
+
+@query("select 'nation:' || n_nationkey as uri, case when n_nationkey % 2 = 0 then 'taxonomy:' || n_nationkey else n_name end as label from nation")
+def organism_labels(s, d):
+    """HLP3: references first, else names."""
+    n = T(s, d, "nation").withColumn("uri", B.uri("nation", "n_nationkey"))
+    x = n.filter(F.col("n_nationkey") % 2 == 0).select("uri", F.lit("taxonomy").alias("db"), F.col("n_nationkey").cast("string").alias("id"))
+    return E.organism_labels(n, x, n.select("uri", F.col("n_name").alias("name")))

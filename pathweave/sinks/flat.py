@@ -36,8 +36,9 @@ def gmt_lines(members: DataFrame, organisms: list[str] | None = None) -> DataFra
 
 def jsonld_lines(m: Model) -> DataFrame:
     """SNK7: (value): one JSON object an element: its id, type and properties, references as ``{"@id": ...}``."""
-    refs = m.edges.select(F.col("src").alias("uri"), "prop", F.to_json(F.struct(F.col("dst").alias("@id"))).alias("v"))
-    data = m.literals.select("uri", "prop", F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace("value", r"([\\\"])", r"\\$1"), r"[\x00-\x1f]", " "), F.lit('"')).alias("v"))
+    own = m.elements.select("uri")
+    refs = m.edges.select(F.col("src").alias("uri"), "prop", F.to_json(F.struct(F.col("dst").alias("@id"))).alias("v")).join(own, "uri", "left_semi")
+    data = m.literals.join(own, "uri", "left_semi").select("uri", "prop", F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace("value", r"([\\\"])", r"\\$1"), r"[\x00-\x1f]", " "), F.lit('"')).alias("v"))
     props = refs.unionByName(data).groupBy("uri", "prop").agg(F.sort_array(F.collect_set("v")).alias("vs"))
     text = props.groupBy("uri").agg(F.sort_array(F.collect_list(F.concat(F.lit('"'), F.col("prop"), F.lit('":['), F.array_join("vs", ","), F.lit("]")))).alias("ps"))
     j = m.elements.join(text, "uri", "left")
@@ -113,3 +114,25 @@ def read_model(spark, path: str) -> Model:
 def is_empty(m: Model) -> bool:
     """SNK8: whether there is nothing to give: callers then answer with an empty result."""
     return m.elements.isEmpty()
+
+
+def blacklist_lines(hubs: DataFrame) -> DataFrame:
+    """SNK12: ``uri<TAB>degree`` of ubiquitous elements."""
+    return hubs.select(F.concat_ws("\t", "uri", F.col("degree").cast("string")).alias("value"))
+
+
+def metadata_lines(sources: DataFrame) -> DataFrame:
+    """SNK13: one JSON object a source, local prefixes of its data's location left out."""
+    local = F.regexp_replace("dataUrl", "^(classpath:|file:)", "")
+    return sources.withColumn("dataUrl", local).select(F.to_json(F.struct(*sources.columns)).alias("value"))
+
+
+def report_lines(violations: DataFrame) -> DataFrame:
+    """SNK14: a validation report as one JSON line a rule: its violations in order."""
+    g = violations.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_if("fixed").alias("n_fixed"))
+    return g.select(F.to_json(F.struct("rule", "severity", "n", "n_fixed")).alias("value"))
+
+
+def provider_names(elements: DataFrame) -> DataFrame:
+    """SNK9, AGG5: the distinct providers of a result."""
+    return elements.select("datasource").dropna().distinct()

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathweave.operators.entities import normalized_mapping
-from pathweave.runtime import table  # noqa: F401  used by callers alongside
 
 
 def merge_batch(path: str) -> Callable[[DataFrame, int], None]:
