@@ -1,28 +1,28 @@
 """Problem 5: parent-child links to full hierarchies: path, depth, root and descendants of every node, with cycles told apart.
 
-Method: bottom-up leaf peeling. Each round takes off the nodes without children left and adds their subtree sizes (or descendant
-rows) to their parents. What can't be peeled away contains the cycles. Then, in reverse peel order, each layer gets its paths and
-depths from its parents, which were peeled later.
-
-A round is one aggregation of the peeled layer by parent, combined on the map side, so a parent with a third of all rows as children
-is one partial sum a task. Peeling halts when the rest fits a documented bound; one task then goes on peeling the rest by the same
-rule, as the tops of a few very deep trees would otherwise cost a cluster round for each of their levels.
+Method: bottom-up leaf peeling. Each round takes off the nodes without children left and adds their subtree sizes to their parents;
+then, in reverse peel order, each layer gets its paths and depths from its parents, which went later. Peeling alone needs a round for
+each level of the tallest tree, so every round also splices out nodes with a single child left, no two neighbours at once: the child
+takes their place and carries their uris. About a third of each chain goes a round, so rounds grow with the logarithm of the number of
+nodes, not with the depth. A cycle shrinks likewise, to one node that is its own parent: what can't be peeled away is cycles.
+
+A round is one aggregation by parent, combined on the map side, so a parent with a third of all rows as children is one partial sum a
+task. The nodes alive are fewer each round; the way back reads those only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from pathweave.runtime import HEAVY, Scratch, filled, lookup, ship
+from pathweave.runtime import HEAVY, Scratch, filled, identified, lookup
 
-#: The nodes left over (each with an uri, its parent and a number) that one task peels on, about 10 MB.
-FINISH = 20_000
-NODE = "uri string, root_uri string, depth_no int, uri_path string, n_desc int"
-ASSIGNED = "uri string, root_uri string, depth_no int, uri_path string, below bigint"
+ALIVE, PEELED, SPLICED = 0, 1, 2
+#: A node on the way up: its id, uri and parent's id; its children left (number, exclusive or of their ids) and the descendants already
+#: counted; what was spliced out between it and its parent (uris, number, their counted descendants and themselves), and of the latter
+#: the sum over its children left.
+UP = ("v", "uri", "p", "kids", "kid_ids", "below", "between", "gap", "extra", "kids_extra")
+DOWN = ("v", "uri", "root_uri", "depth_no", "uri_path", "below")
 
 
 def parents_of(index: DataFrame) -> DataFrame:
@@ -36,92 +36,109 @@ def parents_of(index: DataFrame) -> DataFrame:
     return lookup(nodes, "parent", known, "parent", heavy, "left").select("uri", F.when(F.col("there"), F.col("parent")).alias("parent"))
 
 
-def _finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Peel the rest (uri, parent, below: descendants already peeled), then assign from the last peeled to the first."""
-    batches = list(parts)
-    if not batches:
-        return
-    rest = pd.concat(batches, ignore_index=True)
-    parent = {u: (p if isinstance(p, str) else None) for u, p in zip(rest["uri"], rest["parent"], strict=True)}
-    below = dict(zip(rest["uri"], rest["below"].astype(int), strict=True))
-    children = dict.fromkeys(parent, 0)
-    for p in parent.values():
-        if p is not None:
-            children[p] += 1
-    order = [u for u, n in children.items() if not n]
-    for u in order:
-        p = parent[u]
-        if p is not None:
-            below[p] += below[u] + 1
-            children[p] -= 1
-            if not children[p]:
-                order.append(p)
-    done: dict[str, tuple[str, int, str]] = {}
-    for u in reversed(order):
-        p = parent[u]
-        if p is None:
-            done[u] = (u, 0, u)
-        elif p in done:
-            r, d, path = done[p]
-            done[u] = (r, d + 1, f"{path}>{u}")
-    none = ("", -1, "")
-    yield pd.DataFrame([(u, *done.get(u, none), below[u] if u in done else -1) for u in parent], columns=["uri", "root_uri", "depth_no", "uri_path", "below"]).astype({"depth_no": "int32", "below": "int64"})
-
-
-def hierarchies(index: DataFrame, finish: int = FINISH) -> DataFrame:
+def _grown(nodes: DataFrame) -> DataFrame:
+    """The nodes (v, uri, p) as they start: nothing counted, nothing spliced."""
+    kids = nodes.filter(F.col("p").isNotNull()).groupBy(F.col("p").alias("k")).agg(F.count(F.lit(1)).alias("kids"), F.bit_xor("v").alias("kid_ids"))
+    none = F.lit(0).cast("bigint")
+    return nodes.join(kids, nodes["v"] == kids["k"], "left").select(
+        "v", "uri", "p", F.coalesce("kids", none).alias("kids"), F.coalesce("kid_ids", none).alias("kid_ids"), none.alias("below"), F.lit("").alias("between"), none.alias("gap"), none.alias("extra"), none.alias("kids_extra")
+    )
+
+
+def _peeled(rest: DataFrame) -> DataFrame:
+    """rest with the nodes without children told apart (state) and counted at their parents."""
+    leaf, none = F.col("kids") == 0, F.lit(0).cast("bigint")
+    sent = rest.filter(leaf & F.col("p").isNotNull()).groupBy(F.col("p").alias("k")).agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor("v").alias("ids"), F.sum(F.col("below") + F.col("extra") + 1).alias("more"), F.sum("extra").alias("less")
+    )
+    got = rest.filter(~leaf).join(sent, F.col("v") == F.col("k"), "left")
+    alive = got.select(
+        "v", "uri", "p", (F.col("kids") - F.coalesce("n", none)).alias("kids"), F.col("kid_ids").bitwiseXOR(F.coalesce("ids", none)).alias("kid_ids"),
+        (F.col("below") + F.coalesce("more", none)).alias("below"), "between", "gap", "extra", (F.col("kids_extra") - F.coalesce("less", none)).alias("kids_extra"), F.lit(ALIVE).alias("state"),
+    )
+    return alive.unionByName(rest.filter(leaf).withColumn("state", F.lit(PEELED)))
+
+
+def _spliced(rest: DataFrame, turn: int) -> DataFrame:
+    """rest with the inner nodes of chains told apart that come before their parent and their one child by a hash of this turn."""
+    place = lambda c: F.xxhash64(F.lit(turn), F.col(c))
+    inner = F.coalesce((F.col("kids") == 1) & (F.col("p") != F.col("v")) & (place("v") > place("p")) & (place("v") > place("kid_ids")), F.lit(False))
+    out, none = rest.filter(inner), F.lit(0).cast("bigint")
+    more = F.col("below") + 1
+    news = F.struct(F.col("p"), F.concat("between", "uri", F.lit(">")).alias("between"), (F.col("gap") + 1).alias("gap"), (F.col("extra") + more).alias("extra"))
+    to = F.array(
+        F.struct(F.col("kid_ids").alias("k"), news.alias("news"), none.alias("ids"), none.alias("more")),
+        F.struct(F.col("p").alias("k"), F.when(F.lit(False), news).alias("news"), F.col("v").bitwiseXOR(F.col("kid_ids")).alias("ids"), (more + F.col("kids_extra")).alias("more")),
+    )
+    sent = out.select(F.inline(to)).groupBy("k").agg(F.max("news").alias("news"), F.bit_xor("ids").alias("ids"), F.sum("more").alias("more"))
+    got = rest.filter(~inner).join(sent, F.col("v") == F.col("k"), "left")
+    alive = got.select(
+        "v", "uri", F.when(F.col("news").isNotNull(), F.col("news.p")).otherwise(F.col("p")).alias("p"), "kids", F.col("kid_ids").bitwiseXOR(F.coalesce("ids", none)).alias("kid_ids"), "below",
+        F.concat(F.coalesce("news.between", F.lit("")), "between").alias("between"), (F.coalesce("news.gap", none) + F.col("gap")).alias("gap"),
+        (F.coalesce("news.extra", none) + F.col("extra")).alias("extra"), (F.col("kids_extra") + F.coalesce("more", none)).alias("kids_extra"), F.lit(ALIVE).alias("state"),
+    )
+    return alive.unionByName(out.withColumn("state", F.lit(SPLICED)))
+
+
+def _named(layer: DataFrame, above: DataFrame, heavy: DataFrame | None, below: Column) -> DataFrame:
+    """A layer's nodes under their parents above, whose uris and paths are known; caught where the parent is."""
+    table = above.select("v", F.col("root_uri").alias("p_root"), F.col("depth_no").alias("p_depth"), F.col("uri_path").alias("p_path"))
+    rows = lookup(layer, "p", table, "v", heavy, "left")
+    root, caught = F.col("p").isNull(), F.col("p_depth") < 0
+    return rows.select(
+        "v", "uri",
+        F.when(root, F.col("uri")).otherwise(F.col("p_root")).alias("root_uri"),
+        F.when(root, 0).when(caught, -1).otherwise(F.col("p_depth") + 1 + F.col("gap")).cast("int").alias("depth_no"),
+        F.when(root, F.col("uri")).when(caught, "").otherwise(F.concat("p_path", F.lit(">"), "between", "uri")).alias("uri_path"),
+        F.when(~root & caught, -1).otherwise(below).cast("bigint").alias("below"),
+    )
+
+
+def hierarchies(index: DataFrame) -> DataFrame:
     """p5: (uri, root_uri, depth_no, uri_path, n_desc), one row per distinct uri of index (uri, pathway = the parent's uri).
 
     White space around uris is ignored, rows without uri are left out, records repeated under one uri count once (of differing parents
     the least is taken). A blank parent or one that is no row's uri makes a root, of depth 0. ``uri_path`` goes from the root to the
     node, joined by ``>``; ``n_desc`` counts all nodes below. A node on a cycle or below one gets '', -1, '' and -1. An empty table
     gives no rows; columns besides the two are ignored.
+
+    Nodes are 64-bit hashes on the way, told apart on all of them first.
     """
     spark = index.sparkSession
-    ship(spark)
     scratch = Scratch(spark, "tree")
-    nodes, nodes_path = scratch.write(parents_of(index))
-    total = nodes.count()
-    rest, rest_path = scratch.write(nodes.select("uri", "parent", F.lit(0).cast("bigint").alias("below")))
+    links, links_path = scratch.write(parents_of(index))
+    nodes, nodes_path = identified(links, ["uri"], scratch, lambda key: [F.when(F.col("parent").isNotNull(), key("parent")).alias("p"), F.col("uri")])
+    scratch.drop(links_path)
+    sizes = nodes.filter(F.col("p").isNotNull()).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    hubs, _ = scratch.write(sizes.filter(F.col("n") > HEAVY).orderBy(F.desc("n"), "p").limit(HEAVY).select("p"))
+    heavy = None if hubs.isEmpty() else hubs
+    rest, _ = scratch.write(_grown(nodes))
     scratch.drop(nodes_path)
-    left, layers = total, []
-    while left > finish:
-        kids = rest.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("uri")).distinct()
-        layer, layer_path = scratch.write(rest.join(kids, "uri", "left_anti"))
-        n = layer.count()
-        if not n:
-            break  # only cycles are left
-        layers.append((layer, layer_path))
-        sums = layer.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("uri")).agg((F.sum("below") + F.count(F.lit(1))).alias("more"))
-        kept = rest.join(kids, "uri", "left_semi").join(sums, "uri", "left").select("uri", "parent", (F.col("below") + F.coalesce("more", F.lit(0))).alias("below"))
-        old = rest_path
-        rest, rest_path = scratch.write(kept)
-        scratch.drop(old)
-        left -= n
-    if left <= finish:
-        assigned, a_path = scratch.write(rest.coalesce(1).mapInPandas(_finish, ASSIGNED))
-    else:
-        assigned, a_path = scratch.write(rest.select("uri", F.lit("").alias("root_uri"), F.lit(-1).alias("depth_no"), F.lit("").alias("uri_path"), F.lit(-1).cast("bigint").alias("below")))
-    done = [assigned]
-    above = assigned
-    for layer, _ in reversed(layers):
-        hot = layer.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > max(total // HEAVY, 1000)) & F.col("parent").isNotNull()).select("parent")
-        table = above.select("uri", F.col("root_uri").alias("p_root"), F.col("depth_no").alias("p_depth"), F.col("uri_path").alias("p_path"))
-        rows = lookup(layer, "parent", table, "uri", None if hot.isEmpty() else hot, "left")
-        root, caught = F.col("parent").isNull(), F.col("p_depth") < 0
-        named = rows.select(
-            "uri",
-            F.when(root, F.col("uri")).otherwise(F.col("p_root")).alias("root_uri"),
-            F.when(root, 0).when(caught, -1).otherwise(F.col("p_depth") + 1).cast("int").alias("depth_no"),
-            F.when(root, F.col("uri")).when(caught, "").otherwise(F.concat_ws(">", "p_path", "uri")).alias("uri_path"),
-            F.when(~root & caught, -1).otherwise(F.col("below")).cast("bigint").alias("below"),
-        )
-        got, _ = scratch.write(named)
-        done.append(got)
-        above = above.unionByName(got)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("uri", "root_uri", "depth_no", "uri_path", F.col("below").cast("int").alias("n_desc"))
+    layers: list[tuple[int, DataFrame]] = []
+    active, turn = 1, 0
+    while active:
+        for kind, step in ((PEELED, _peeled), (SPLICED, lambda r, t=turn: _spliced(r, t))):
+            seen = Observation()
+            # a node that is its own parent is what is left of a cycle
+            left = F.count_if((F.col("state") == ALIVE) & F.coalesce(F.col("p") != F.col("v"), F.lit(True)))
+            out, path = scratch.write(step(rest).observe(seen, left.alias("active"), F.count_if(F.col("state") == kind).alias("gone")), by="state")
+            if seen.get["gone"]:
+                layers.append((kind, out.filter(F.col("state") == kind).select(*UP)))
+            rest, active = out.filter(F.col("state") == ALIVE).select(*UP), seen.get["active"]
+            if turn or kind == SPLICED:
+                scratch.drop(f"{before}/state={ALIVE}")
+            before = path
+        turn += 1
+    done, _ = scratch.write(rest.select("v", "uri", F.lit("").alias("root_uri"), F.lit(-1).alias("depth_no"), F.lit("").alias("uri_path"), F.lit(-1).cast("bigint").alias("below")))
+    for kind, layer in reversed(layers):
+        if kind == SPLICED:
+            under = done.select(F.col("v").alias("c"), F.col("below").alias("c_below"))
+            layer = layer.join(under, F.col("kid_ids") == F.col("c"))
+            named = _named(layer, done, None, F.col("below") + F.col("kids_extra") + F.col("c_below") + 1)
+        else:
+            named = _named(layer, done, heavy, F.col("below"))
+        done = done.unionByName(scratch.write(named)[0])
+    return done.select("uri", "root_uri", "depth_no", "uri_path", F.col("below").cast("int").alias("n_desc"))
 
 
 def descendants(index: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,11 +60,12 @@ class Scratch:
         self.steps = 0
         atexit.register(self._remove, self.root)
 
-    def write(self, df: DataFrame, codec: str = "zstd") -> tuple[DataFrame, str]:
-        """Write df as Parquet and return it as read back, with its path."""
+    def write(self, df: DataFrame, codec: str = "zstd", by: str | None = None) -> tuple[DataFrame, str]:
+        """Write df as Parquet, in a folder for each value of a column if by names one, and return it as read back, with its path."""
         self.steps += 1
         path = f"{self.root}/{self.steps:04d}"
-        df.write.option("compression", codec).parquet(path)
+        out = df.write.option("compression", codec)
+        (out.partitionBy(by) if by else out).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, *paths: str) -> None:
@@ -116,6 +118,20 @@ def lookup(left: DataFrame, key: str, table: DataFrame, table_key: str, heavy: D
     return a.unionByName(b)
 
 
+def identified(rows: DataFrame, columns: list[str], scratch: Scratch, more: Callable[[Callable[..., Column]], list[Column]], seeds: int = 8) -> tuple[DataFrame, str]:
+    """(v, ...) written: rows, distinct in columns, under 64-bit hashes of these, with what more makes of the hash function (SQL columns).
+
+    Whether two rows share a hash is tested on all of them, and another seed is taken if so.
+    """
+    for seed in range(seeds):
+        key = lambda *cs, s=seed: F.xxhash64(F.lit(s), *(x for c in cs for x in (F.lit("|"), F.col(c))))
+        out, path = scratch.write(rows.select(key(*columns).alias("v"), *more(key)))
+        if out.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+            return out, path
+        scratch.drop(path)
+    raise RuntimeError("no seed keeps the 64-bit hashes apart")
+
+
 #: Characters that str.strip() removes: ASCII blanks and controls, and the Unicode spaces.
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 
