@@ -1,160 +1,154 @@
 """Problem 4: freely typed names mapped to the entry of a reference list that is meant, unmatched ones reported.
 
-Method: prefix-filter set-similarity join. A name becomes the set of its character pairs; pairs are ordered by how rare they are among
-all typed names and entries together, and only each set's rare prefix is joined: two sets of Jaccard similarity t or more share a token
-in their prefixes. Length and positional filters drop most of the candidates, the Jaccard similarity of the others is computed exactly,
-and the best entry is kept. An exact check follows for what pairs of characters judge badly, the short names with swapped letters: the
-edit distance with transpositions of the candidates only.
-
-Typed names are first brought to a plain form (compatibility forms and look-alike letters folded, accents, case, punctuation and
-fixed decorations like "the ..." or "..., ver. 2" dropped) and made distinct, so a name typed a million times is matched once.
+Method: prefix-filter set-similarity join. A name becomes a set of tokens; tokens are ordered by how rare they are among all typed names
+and entries together, and only each set's rare prefix is joined: two sets of Jaccard similarity t or more share a token in their
+prefixes. Length and positional filters drop most of the candidates, the Jaccard similarity of the others is computed exactly, and the
+best entry is kept. An equal name is a similarity of 1, found by the same join.
+
+The tokens of a name are its letters, numbered where they repeat, and the unordered pairs of letters at most two places apart, with a
+mark at each end. Swapped neighbours keep their letters and most of these pairs, so typing errors of all kinds leave sets similar.
+
+What people put around a name (articles, "database", version numbers) is learned from the data, not listed: a word is wrapping if it
+is what is left over when entries' exact forms are found inside typed names, for more than a given share of all entries.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathweave.runtime import Scratch, filled, heavy_keys, lookup, ship
 
-#: Candidates have at least this Jaccard similarity; pairs of swapped letters cost most of a short name's character pairs.
-CANDIDATE = 0.15
-#: A candidate is meant if its Jaccard similarity is at least this: truncated, abbreviated and reordered names.
-SIMILAR = 0.5
-#: Or if at most this share of the longer name has to be edited: typing errors.
-EDITS = 0.34
+#: An entry is meant if the Jaccard similarity is at least this.
+SIMILAR = 0.47
+#: A word is wrapping if it stands around the exact forms of more than this share of the entries, and of two at least.
+WRAPPING = 0.1
+#: A token with more than this many sets is joined in so many parts more.
+HOT = 100_000
 
 # Look-alike letters of other scripts and the Latin letters they stand for.
 LOOK_ALIKE = str.maketrans(
     "аеорсухіјѕԁӏвкмнтгАВЕКМНОРСТХУІЈЅαοενρτυικχΑΒΕΖΗΙΚΜΝΟΡΤΥΧıłøß",
     "aeopcyxijsdlbkmhtrabekmhopctxyijsaoevptuikxabezhikmnoptyxilos",
 )
-# What is typed around a name without being part of it.
-BEFORE = r"^(?:(?:the|from|via|see)\s+|(?:id|source|db)\s*:\s*)"
-AFTER = r"(?:[\s,]+(?:db|database|entry|id|ids|accession)|\s*#|[\s,]+ver(?:sion)?\.?\s*[0-9][0-9.]*|\s*\(release\s+[0-9]+\)|\s+v[0-9][0-9.]*)$"
-_BEFORE, _AFTER = re.compile(BEFORE), re.compile(AFTER)
-_ENDS = " \t\r\n\"'`?!#:;.,_-"
 
 
-def plain(name: str) -> str:
-    """The letters and digits of a name, decorations dropped; '' if it has none."""
+def words_of(name: str) -> list[str]:
+    """The words of letters and digits in a name: compatibility forms and look-alikes folded, accents and case dropped."""
     s = unicodedata.normalize("NFKD", name).translate(LOOK_ALIKE)
     s = "".join(ch for ch in s if not unicodedata.combining(ch) and unicodedata.category(ch) != "Cf").casefold()
-    while True:
-        t = _AFTER.sub("", _BEFORE.sub("", s.strip(_ENDS + "\xa0"))).strip(_ENDS)
-        if t == s or not t:
-            break
-        s = t
-    return re.sub(r"[^a-z0-9]+", "", s)
-
-
-@F.pandas_udf(T.StringType())
-def plain_udf(names: pd.Series) -> pd.Series:
-    return names.map(plain, na_action="ignore")
-
-
-def edits(a: list[str], b: list[str]) -> np.ndarray:
-    """Edit distances of pairs, adjacent transpositions counting one, of all pairs at once."""
-    if not a:
-        return np.zeros(0, dtype=np.int32)
-    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    wa, wb = int(la.max()), int(lb.max())
-    ca = np.array([[ord(c) for c in x.ljust(wa, "\0")] for x in a], dtype=np.int32).reshape(len(a), wa)
-    cb = np.array([[ord(c) for c in x.ljust(wb, "\1")] for x in b], dtype=np.int32).reshape(len(b), wb)
-    rows = np.zeros((wa + 1, wb + 1, len(a)), dtype=np.int32)
-    rows[:, 0] = np.arange(wa + 1)[:, None]
-    rows[0] = np.arange(wb + 1)[:, None]
-    for i in range(1, wa + 1):
-        for j in range(1, wb + 1):
-            differ = ca[:, i - 1] != cb[:, j - 1]
-            d = np.minimum(np.minimum(rows[i - 1, j] + 1, rows[i, j - 1] + 1), rows[i - 1, j - 1] + differ)
-            if i > 1 and j > 1:
-                swapped = (ca[:, i - 1] == cb[:, j - 2]) & (ca[:, i - 2] == cb[:, j - 1])
-                d = np.where(swapped, np.minimum(d, rows[i - 2, j - 2] + 1), d)
-            rows[i, j] = d
-    return rows[la, lb, np.arange(len(a))]
-
-
-#: Names longer than this are no typing error of an entry: their distance isn't computed, only their Jaccard similarity counts.
-LONGEST = 64
-
-
-@F.pandas_udf(T.DoubleType())
-def edited_share(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edit distance over the longer length; 1 where a length is over LONGEST. Worked in slices, to bound memory."""
-    out = np.ones(len(a))
-    ok = np.flatnonzero((a.str.len() <= LONGEST) & (b.str.len() <= LONGEST))
-    for at in range(0, len(ok), 2000):
-        k = ok[at : at + 2000]
-        x, y = a.iloc[k].tolist(), b.iloc[k].tolist()
-        out[k] = edits(x, y) / np.maximum(1, np.array([max(len(p), len(q)) for p, q in zip(x, y, strict=True)]))
-    return pd.Series(out)
-
-
-def pairs_of(name: Column) -> Column:
-    """The distinct pairs of adjacent characters; of a single character, itself."""
-    n = F.length(name)
-    return F.when(n < 2, F.array(name)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(name, i, F.lit(2)))))
-
-
-def set_similarity_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(l, r, jaccard) of all l in left (l: distinct strings) and r in right (r: distinct strings) with Jaccard >= threshold, exactly.
-
-    Rarity is counted over both sides. A prefix is a set's n - ceil(t n) + 1 rarest tokens. Both sides are hash-joined on tokens; the
-    pairs found are made distinct before they are verified.
+    return re.findall(r"[a-z0-9]+", s)
+
+
+def tokens_of(name: str) -> list[str]:
+    """The token set of a plain name: numbered letters, and unordered pairs of letters one or two places apart, ends marked."""
+    seen: Counter[str] = Counter()
+    out = set()
+    for ch in name:
+        seen[ch] += 1
+        out.add(f"{ch}{seen[ch]}")
+    marked = f"^{name}$"
+    for apart in (1, 2):
+        out.update(f"{min(p)}_{max(p)}" for p in zip(marked, marked[apart:], strict=False))
+    return sorted(out)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def words_udf(names: pd.Series) -> pd.Series:
+    return names.map(words_of, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def tokens_udf(names: pd.Series) -> pd.Series:
+    return names.map(tokens_of)
+
+
+def set_similarity_join(left: DataFrame, right: DataFrame, threshold: float, scratch: Scratch, hot: int = HOT) -> DataFrame:
+    """(l, r, jaccard) of all l in left (l, s) and r in right (r, s) whose sets have Jaccard >= threshold, exactly.
+
+    l and r are distinct strings, s arrays of distinct tokens; empty sets match nothing. Rarity is counted over both sides. A prefix is
+    a set's n - ceil(t n) + 1 rarest tokens. A token of many sets is joined in parts: left rows go to one part each, right rows to all.
+    Only names and positions are joined; the sets come back for the candidates that pass the filters.
+    """
+    words = left.select(F.col("l").alias("w"), F.lit(0).alias("side"), "s").unionByName(right.select(F.col("r").alias("w"), F.lit(1).alias("side"), "s"))
+    tokens = words.select("w", "side", F.explode("s").alias("t"))
+    rarity, _ = scratch.write(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")))
+    ranked = tokens.join(rarity, "t").groupBy("w", "side").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"))
+    sets, _ = scratch.write(ranked.withColumn("n", F.size("s")))
+    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
+    prefix = sets.select("w", "side", "n", F.posexplode(F.slice("s", F.lit(1), keep.cast("int"))).alias("i", "ft")).select("w", "side", "n", "i", "ft.t", (F.col("ft.f") / hot).cast("int").alias("more"))
+    a = prefix.filter("side = 0").select(F.col("w").alias("l"), F.col("n").alias("x"), F.col("i").alias("li"), "t", F.pmod(F.xxhash64("w"), F.col("more") + 1).cast("int").alias("part"))
+    b = prefix.filter("side = 1").select(F.col("w").alias("r"), F.col("n").alias("y"), F.col("i").alias("ri"), "t", F.explode(F.sequence(F.lit(0), "more")).alias("part"))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("x") + F.col("y")) - 1e-9)
+    lengths = (F.col("x") >= F.col("y") * F.lit(threshold) - 1e-9) & (F.col("y") >= F.col("x") * F.lit(threshold) - 1e-9)
+    position = 1 + F.least(F.col("x") - F.col("li") - 1, F.col("y") - F.col("ri") - 1) >= need - F.least("li", "ri")
+    found = a.join(b, ["t", "part"]).filter(lengths & position).select("l", "r").distinct()
+    side = lambda k, name, s: sets.filter(F.col("side") == k).select(F.col("w").alias(name), F.transform("s", lambda x: x["t"]).alias(s))
+    both = found.join(side(1, "r", "rs"), "r").join(side(0, "l", "ls"), "l")
+    judged = both.select("l", "r", F.size("ls").alias("x"), F.size("rs").alias("y"), F.size(F.array_intersect("ls", "rs")).alias("common"))
+    return judged.select("l", "r", (F.col("common") / (F.col("x") + F.col("y") - F.col("common"))).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+
+
+def entry_forms(registry: DataFrame) -> DataFrame:
+    """(db_id, words): the words of every entry's name, full name and synonyms."""
+    empty = F.array().cast("array<string>")
+    forms = registry.select("db_id", F.explode(F.array_union(F.array("db_name", "full_name"), F.coalesce("synonyms", empty))).alias("form"))
+    return forms.select("db_id", words_udf("form").alias("words")).filter("size(words) > 0").distinct()
+
+
+def wrapping_words(typed: DataFrame, forms: DataFrame, share: float = WRAPPING) -> DataFrame:
+    """(word): words that stand around exact forms of entries in typed names; numbers in words count as one.
+
+    typed (words), distinct; forms (db_id, words). Every run of words in every typed name is compared with the entries' forms.
     """
-    words = left.select(F.col("l").alias("w"), F.lit(0).alias("side")).unionByName(right.select(F.col("r").alias("w"), F.lit(1).alias("side")))
-    tokens = words.withColumn("t", F.explode(pairs_of(F.col("w"))))
-    rarity = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-    # an alphabet of 36 characters has at most 36 * 36 pairs, so this table is bounded whatever the data
-    ranked = tokens.join(F.broadcast(rarity), "t").groupBy("w", "side").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"))
-    n = F.size("s")
-    keep = n - F.ceil(n * F.lit(threshold) - 1e-9) + 1
-    sets = ranked.select("w", "side", F.transform("s", lambda x: x["t"]).alias("s"))
-    prefix = sets.select("w", "side", "s", F.posexplode(F.slice("s", F.lit(1), keep.cast("int"))).alias("i", "t"))
-    a = prefix.filter("side = 0").select(F.col("w").alias("l"), F.col("s").alias("ls"), F.col("i").alias("li"), "t")
-    b = prefix.filter("side = 1").select(F.col("w").alias("r"), F.col("s").alias("rs"), F.col("i").alias("ri"), "t")
-    x, y = F.size("ls"), F.size("rs")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (x + y) - 1e-9)
-    lengths = (x >= y * F.lit(threshold) - 1e-9) & (y >= x * F.lit(threshold) - 1e-9)
-    position = 1 + F.least(x - F.col("li") - 1, y - F.col("ri") - 1) >= need - F.least("li", "ri")
-    found = a.join(b, "t").filter(lengths & position).select("l", "r", "ls", "rs").dropDuplicates(["l", "r"])
-    common = F.size(F.array_intersect("ls", "rs"))
-    return found.select("l", "r", (common / (x + y - common)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
-
-
-def reference_forms(registry: DataFrame) -> DataFrame:
-    """(r, db_id): the plain forms of every entry's name, full name and synonyms; a form of several entries goes to the least id."""
-    forms = registry.select("db_id", F.explode(F.array_union(F.array("db_name", "full_name"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("form"))
-    return forms.select("db_id", plain_udf("form").alias("r")).filter("r <> ''").groupBy("r").agg(F.min("db_id").alias("db_id"))
+    exact = forms.select(F.array_join("words", "").alias("form"), "db_id").groupBy("form").agg(F.min("db_id").alias("db_id"))
+    widest = forms.agg(F.max(F.length(F.array_join("words", ""))).alias("widest"))  # one row; no run of more words than that is a form
+    n = F.size("words")
+    runs = typed.filter(n > 1).crossJoin(F.broadcast(widest)).withColumn("i", F.explode(F.sequence(F.lit(1), n)))
+    runs = runs.withColumn("k", F.explode(F.sequence(F.lit(1), F.least("widest", n - F.col("i") + 1)))).filter(F.col("k") < n)
+    around = F.concat(F.slice("words", F.lit(1), F.col("i") - 1), F.slice("words", F.col("i") + F.col("k"), n))
+    hits = runs.select(F.array_join(F.slice("words", F.col("i"), F.col("k")), "").alias("form"), around.alias("around")).join(exact, "form")
+    words = hits.select("db_id", F.explode("around").alias("w")).select("db_id", _numberless("w").alias("word")).distinct()
+    entries = forms.select("db_id").distinct().agg(F.count(F.lit(1)).alias("entries"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(entries)).filter((F.col("n") > F.col("entries") * share) & (F.col("n") > 1)).select("word")
+
+
+def _numberless(word: str):
+    return F.regexp_replace(word, "[0-9]+", "0")
+
+
+def unwrapped(rows: DataFrame, key: str, wrapping: DataFrame) -> DataFrame:
+    """(key, core): the rows' words (key: distinct, words) without wrapping ones, joined; all of them where nothing else is left."""
+    each = rows.select(key, F.posexplode("words").alias("i", "w")).withColumn("word", _numberless("w"))
+    kept = each.join(wrapping, "word", "left_anti").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("kept"))
+    core = F.coalesce(F.array_join(F.transform("kept", lambda x: x["w"]), ""), F.array_join("words", ""))
+    return rows.join(kept, key, "left").select(key, core.alias("core"))
 
 
 def match_names(names: DataFrame, registry: DataFrame) -> DataFrame:
     """(name, db_id, score) for names (name: distinct, not blank): the entry of registry that is meant, -1 and 0 if none is.
 
-    An exact plain form comes first, then the fewest edits, then the highest Jaccard similarity; ties go to the least db_id.
+    The highest Jaccard similarity decides; ties go to the least db_id, also where entries share a form.
     """
     ship(names.sparkSession)
     scratch = Scratch(names.sparkSession, "names")
-    forms, _ = scratch.write(names.select("name", plain_udf("name").alias("l")))
-    refs, _ = scratch.write(reference_forms(registry).coalesce(1))
-    left = forms.select("l").filter("l <> ''").distinct()
-    exact = left.join(refs, left["l"] == refs["r"]).select("l", "db_id", F.lit(1.0).alias("score"))
-    others = left.join(refs.select(F.col("r").alias("l")), "l", "left_anti")
-    close = set_similarity_join(others, refs.select("r"), CANDIDATE).join(refs, "r")
-    judged = close.withColumn("share", edited_share("l", "r"))
-    meant = judged.filter((F.col("jaccard") >= SIMILAR) | (F.col("share") <= EDITS))
-    # fewest edits where they are few, else the highest similarity
-    rank = F.struct(F.when(F.col("share") <= EDITS, F.col("share")).otherwise(F.lit(2.0) - F.col("jaccard")).alias("a"), F.col("db_id"))
-    best = meant.groupBy("l").agg(F.min_by(F.struct("db_id", F.greatest("jaccard", 1 - F.col("share")).alias("score")), rank).alias("b"))
-    found = exact.unionByName(best.select("l", "b.db_id", "b.score"))
-    return forms.join(found, "l", "left").select("name", F.coalesce("db_id", F.lit(-1)).alias("db_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    typed, _ = scratch.write(names.select("name", words_udf("name").alias("words")))
+    forms, _ = scratch.write(entry_forms(registry).coalesce(1))
+    wrapping, _ = scratch.write(wrapping_words(typed.select("words").distinct(), forms).coalesce(1))
+    cores, _ = scratch.write(unwrapped(typed, "name", wrapping))
+    whole = forms.select("db_id", F.array_join("words", "").alias("r"), "words")
+    short = unwrapped(whole.select("r", "words").dropDuplicates(["r"]), "r", wrapping).join(whole.select("r", "db_id"), "r").select("db_id", F.col("core").alias("r"))
+    refs, _ = scratch.write(whole.select("db_id", "r").unionByName(short).groupBy("r").agg(F.min("db_id").alias("db_id")).coalesce(1))
+    left = cores.filter("core <> ''").select(F.col("core").alias("l")).distinct().withColumn("s", tokens_udf("l"))
+    close = set_similarity_join(left, refs.select("r", tokens_udf("r").alias("s")), SIMILAR, scratch).join(refs, "r")
+    best = close.groupBy("l").agg(F.max_by(F.struct("db_id", "jaccard"), F.struct("jaccard", -F.col("db_id"))).alias("b")).select(F.col("l").alias("core"), "b.db_id", "b.jaccard")
+    return cores.join(best, "core", "left").select("name", F.coalesce("db_id", F.lit(-1)).alias("db_id"), F.coalesce("jaccard", F.lit(0.0)).alias("score"))
 
 
 def map_submissions(submissions: DataFrame, registry: DataFrame) -> DataFrame:
@@ -164,6 +158,7 @@ def map_submissions(submissions: DataFrame, registry: DataFrame) -> DataFrame:
     """
     sides = F.array(F.struct(F.lit("src").alias("side"), F.col("src_db").alias("name")), F.struct(F.lit("dst").alias("side"), F.col("dst_db").alias("name")))
     rows = submissions.select("submission_id", F.inline(sides)).filter(filled("name").isNotNull())
-    matched = match_names(rows.select("name").distinct(), registry).select("name", "db_id")
+    scratch = Scratch(submissions.sparkSession, "typed")
+    matched, _ = scratch.write(match_names(rows.select("name").distinct(), registry).select("name", "db_id"))
     heavy = heavy_keys(rows, "name")
     return lookup(rows, "name", matched, "name", None if heavy.isEmpty() else heavy).select("submission_id", "side", "db_id")
