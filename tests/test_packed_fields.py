@@ -8,7 +8,7 @@ CASES = [
     ("DR", "PDB:5EPH.\nGO:GO:1 word word.", ["PDB:5EPH", "GO:GO:1 word word"]), ("DR", '"RefSeq:NP_1.1, subunit x".', ["RefSeq:NP_1.1, subunit x"]),
     ("DR", '"PIR:E1 ""ith""; variant";RefSeq:NP_3.4', ['PIR:E1 "ith"; variant', "RefSeq:NP_3.4"]), ("DR", "'DIP:D-1; nor';\nPIR:U4 5'-MGC2/YR / A:1", ["DIP:D-1; nor", "PIR:U4 5'-MGC2/YR", "A:1"]),
     ("GN", 'Name="HY" {ECO:1|X:2} | Synonyms=A,B alpha; and Name=C/5;', ["HY", "A", "B alpha", "C/5"]), ("GN", "5'-TSBB;\nQIP3/5,RIA", ["5'-TSBB", "QIP3/5", "RIA"]), ("GN", "name = X;\nORFNames = 'V | and k'", ["X", "V | and k"]),
-    ("GN", 'A "B', ['A "B']),
+    ("GN", 'A "B', ['A "B']), ("GN", "Name=A {ECO:1, ECO:2|X:3}; {ECO:4}; B", ["A", "B"]), ("DR", "A:1. ;\r\nB:2.; .", ["A:1", "B:2."]), ("AC", "Q1;'';Q2/\"\"/Q3", ["Q1", "Q2", "Q3"]),
 ]
 
 
@@ -35,10 +35,15 @@ def test_edges(spark):
     assert out.columns == ["entry_key", "field", "pos", "val"] and out.count() == 20002
 
 
-def test_skeletons_rebuild_the_text(spark, data):
+def test_stretches_and_rules(spark, data):
     from pyspark.sql import functions as F
 
     u = spark.read.parquet(f"{data}/uniprot_entries.parquet")
-    for f in ("AC", "DR", "GN"):
+    for f in P.FIELDS:
         c = F.col(f.lower())
-        assert u.filter(F.concat_ws("", P.tokens_of(c, f)) != c).count() == 0
+        assert u.filter(F.array_join(P.tokens_of(c, f), "") != c).count() == 0
+    cut = P.stretches_of(u, "entry_key", P.FIELDS).persist()
+    assert cut.filter(F.length("skeleton") > F.size("tokens")).count() == 0
+    rules = cut.select("field", "skeleton").distinct().collect()
+    assert len(rules) < 0.2 * cut.count() and all(P.resolve(r.field, r.skeleton)[1] > 0 for r in rules)
+    cut.unpersist()
