@@ -129,7 +129,9 @@ def hierarchies(index: DataFrame) -> DataFrame:
                 scratch.drop(f"{before}/state={ALIVE}")
             before = path
         turn += 1
-    done, _ = scratch.write(rest.select("v", "uri", F.lit("").alias("root_uri"), F.lit(-1).alias("depth_no"), F.lit("").alias("uri_path"), F.lit(-1).cast("bigint").alias("below")))
+    cycles = rest.select("v", "uri", F.lit("").alias("root_uri"), F.lit(-1).alias("depth_no"), F.lit("").alias("uri_path"), F.lit(-1).cast("bigint").alias("below"))
+    done, path = scratch.write(cycles)
+    paths = [path]
     for kind, layer in reversed(layers):
         if kind == SPLICED:
             under = done.select(F.col("v").alias("c"), F.col("below").alias("c_below"))
@@ -137,7 +139,8 @@ def hierarchies(index: DataFrame) -> DataFrame:
             named = _named(layer, done, None, F.col("below") + F.col("kids_extra") + F.col("c_below") + 1)
         else:
             named = _named(layer, done, heavy, F.col("below"))
-        done = done.unionByName(scratch.write(named)[0])
+        paths.append(scratch.write(named)[1])
+        done = spark.read.schema(cycles.schema).parquet(*paths)  # one scan, however many layers
     return done.select("uri", "root_uri", "depth_no", "uri_path", F.col("below").cast("int").alias("n_desc"))
 
 
