@@ -77,7 +77,7 @@ def set_similarity_join(left: DataFrame, right: DataFrame, threshold: float, scr
     Only names and positions are joined; the sets come back for the candidates that pass the filters.
     """
     words = left.select(F.col("l").alias("w"), F.lit(0).alias("side"), "s").unionByName(right.select(F.col("r").alias("w"), F.lit(1).alias("side"), "s"))
-    tokens = words.select("w", "side", F.explode("s").alias("t"))
+    tokens = scratch.write(words)[0].select("w", "side", F.explode("s").alias("t"))
     rarity, _ = scratch.write(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")))
     ranked = tokens.join(rarity, "t").groupBy("w", "side").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"))
     sets, _ = scratch.write(ranked.withColumn("n", F.size("s")))
@@ -88,7 +88,9 @@ def set_similarity_join(left: DataFrame, right: DataFrame, threshold: float, scr
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("x") + F.col("y")) - 1e-9)
     lengths = (F.col("x") >= F.col("y") * F.lit(threshold) - 1e-9) & (F.col("y") >= F.col("x") * F.lit(threshold) - 1e-9)
     position = 1 + F.least(F.col("x") - F.col("li") - 1, F.col("y") - F.col("ri") - 1) >= need - F.least("li", "ri")
-    found = a.join(b, ["t", "part"]).filter(lengths & position).select("l", "r").distinct()
+    shared = a.join(b, ["t", "part"]).filter(lengths & position).groupBy("l", "r", "x", "y").agg(F.count(F.lit(1)).alias("c"), F.max("li").alias("li"), F.max("ri").alias("ri"))
+    # what both sets share: the tokens shared in their prefixes, and at most what is left of the shorter one behind the last of these
+    found = shared.filter(F.col("c") + F.least(F.col("x") - F.col("li"), F.col("y") - F.col("ri")) - 1 >= need).select("l", "r")
     side = lambda k, name, s: sets.filter(F.col("side") == k).select(F.col("w").alias(name), F.transform("s", lambda x: x["t"]).alias(s))
     both = found.join(side(1, "r", "rs"), "r").join(side(0, "l", "ls"), "l")
     judged = both.select("l", "r", F.size("ls").alias("x"), F.size("rs").alias("y"), F.size(F.array_intersect("ls", "rs")).alias("common"))
