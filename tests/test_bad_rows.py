@@ -1,8 +1,9 @@
 import re
+import time
 
 import pytest
 
-from pathweave.operators.bad_rows import Grammar, failing_lines, parse_lines
+from pathweave.operators.bad_rows import Grammar, failing_lines, parse_lines, parse_texts
 
 LINES = [
     ("1\tX1", None), ('"1"\t"X1"', None), (' "1" \t X1 \r', None), ('"1\t2"', "column_count"), ("", "column_count"), (None, "column_count"), (" \r", "column_count"), ("1\tX1\t", "column_count"),
@@ -36,3 +37,32 @@ def test_recovery_at_anchors():
     records = list(Grammar(text, valid).file())
     assert [(r.values, r.reason) for r in records] == [(["1", "X1"], None), ([], "quoting"), (["3", "X3"], None), (["4"], "column_count"), (["5", "X5"], None)]
     assert text[records[1].error_at] == '"'
+
+
+def valid(k, v):
+    return re.fullmatch(("[0-9]+", "X[0-9]")[k], v) is not None
+
+
+def test_record_that_closes_a_broken_quote_is_kept():
+    records = list(Grammar('"1\tX1\n"2"\tX2\n3\tX3', valid).file())
+    assert [(r.values, r.reason) for r in records] == [([], "quoting"), (["2", "X2"], None), (["3", "X3"], None)]
+
+
+def test_values_over_lines():
+    long = lambda k, v: k == 1 or v.startswith("a")
+    assert [r.values for r in Grammar('"a\n""b"""\tX1\na\tX2', long).file()] == [['a\n"b"', "X1"], ["a", "X2"]]
+
+
+def test_many_open_quotes_take_linear_time():
+    n = 60_000
+    text = '"1\tX1 x\n' * (2 * n + 1) + "5\tX5"
+    began = time.process_time()
+    records = list(Grammar(text, valid).file())
+    assert records[-1].values == ["5", "X5"] and records[0].reason == "quoting" and time.process_time() - began < 20
+
+
+def test_texts(spark, registry):
+    schema = "text_id bigint, src_db string, dst_db string, text string, reason string"
+    df = spark.createDataFrame([(1, "A", "B", '1\tX1\n"2\tX2\n3\tX3\n4\n', "x"), (2, "A", "B", "", "x"), (3, "A", "B", None, "x"), (4, None, "B", "1\tX1", "x")], schema)
+    rows = {(r.text_id, r.record_no): (r.src_id, r.dst_id, r.reason, r.error_at) for r in parse_texts(df, registry).collect()}
+    assert rows == {(1, 0): ("1", "X1", None, None), (1, 1): (None, None, "quoting", 5), (1, 2): ("3", "X3", None, None), (1, 3): (None, None, "column_count", 16), (4, 0): (None, None, "invalid_value", 0)}
