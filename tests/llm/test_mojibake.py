@@ -34,7 +34,30 @@ def test_single_byte_pages():
     assert restore(ru.encode("koi8_r").decode("cp1251")) == ru
     de = CLEAN[5]
     assert restore(de.encode("cp1252").decode("mac_roman")) == de
-    assert restore("dÃ©j&agrave;") == "déjà" and restore("A &eacute; B") == "A &eacute; B"
+    assert restore("dÃ©j&agrave;") == "déjà" and restore("caf&eacute; is open") == "café is open" and restore("a &lt; b &amp; c") == "a &lt; b &amp; c"
+
+
+def one_by_one(text, written, read):
+    return "".join(bytes([b]).decode(read, "replace").replace("�", chr(b)) for b in text.encode(written))
+
+
+OTHERS = [
+    ("Καλημέρα σε όλους τους φίλους", ("iso8859_7", "cp1253"), "cp1252"), ("Zażółć gęślą jaźń, proszę pana", ("cp1250",), "latin-1"),
+    ("テストサーバです", ("euc_jp", "cp932"), "latin-1"), ("次の段階を遅らせる", ("cp932",), "cp1252"), ("Größe für naïve Mädchen", ("utf-8",), "cp1250"), ("Größe für naïve Mädchen", ("utf-8",), "koi8_r"),
+    ("Мыши без этого белка", ("utf-8",), "koi8_r"), ("Мыши без этого белка", ("koi8_r", "iso8859_5"), "cp1252"), ("La reacción ocurrió a 85 °C", ("cp1252",), "mac_roman"),
+]
+
+
+@pytest.mark.parametrize(("text", "written", "read"), OTHERS)
+def test_other_pages(text, written, read):
+    for w in written:
+        assert restore(one_by_one(text, w, read)) == text
+    assert restore(text) == text
+
+
+@pytest.mark.parametrize("text", ["Ο βαθμός ƒ και Ƥ", "Zażółć gęślą jaźń", "Příliš žluťoučký kůň", "こんにちは、naïve", "F殲 x"])
+def test_other_scripts_stay(text):
+    assert restore(text) == text
 
 
 @pytest.mark.parametrize("text", CLEAN + DECOYS)
