@@ -107,7 +107,7 @@ def hierarchies(index: DataFrame) -> DataFrame:
     spark = index.sparkSession
     scratch = Scratch(spark, "tree")
     links, links_path = scratch.write(parents_of(index))
-    nodes, nodes_path = identified(links, ["uri"], scratch, lambda key: [F.when(F.col("parent").isNotNull(), key("parent")).alias("p"), F.col("uri")])
+    nodes, nodes_path, _ = identified(links, ["uri"], scratch, lambda key: [F.when(F.col("parent").isNotNull(), key("parent")).alias("p"), F.col("uri")])
     scratch.drop(links_path)
     sizes = nodes.filter(F.col("p").isNotNull()).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
     hubs, _ = scratch.write(sizes.filter(F.col("n") > HEAVY).orderBy(F.desc("n"), "p").limit(HEAVY).select("p"))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import hashlib
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +19,9 @@ PACKAGE = Path(__file__).resolve().parent
 #: A key is heavy when it holds more than 1/HEAVY of the rows, so there are at most HEAVY heavy keys: that bounds what is broadcast.
 HEAVY = 1000
 
+#: Spark's setting that deletes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _shipped: dict[str, str] = {}
 
 
@@ -43,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), "pathweave-shared")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
@@ -65,17 +70,23 @@ class Scratch:
         self.steps += 1
         path = f"{self.root}/{self.steps:04d}"
         out = df.write.option("compression", codec)
-        (out.partitionBy(by) if by else out).parquet(path)
+        with self._shuffles_dropped():
+            (out.partitionBy(by) if by else out).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, *paths: str) -> None:
         for path in paths:
             self._remove(path)
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+    @contextmanager
+    def _shuffles_dropped(self) -> Iterator[None]:
+        """What is written needs its shuffle files no more: Spark then deletes them at once, not when the driver happens to collect garbage."""
+        was = self.spark.conf.get(CLEANUP, "false")
+        try:
+            self.spark.conf.set(CLEANUP, "true")
+            yield
+        finally:
+            self.spark.conf.set(CLEANUP, was)
 
     def _remove(self, path: str) -> None:
         try:
@@ -118,16 +129,22 @@ def lookup(left: DataFrame, key: str, table: DataFrame, table_key: str, heavy: D
     return a.unionByName(b)
 
 
-def identified(rows: DataFrame, columns: list[str], scratch: Scratch, more: Callable[[Callable[..., Column]], list[Column]], seeds: int = 8) -> tuple[DataFrame, str]:
-    """(v, ...) written: rows, distinct in columns, under 64-bit hashes of these, with what more makes of the hash function (SQL columns).
+def hashed(seed: int) -> Callable[..., Column]:
+    """A 64-bit hash of columns."""
+    return lambda *columns: F.xxhash64(F.lit(seed), *(x for c in columns for x in (F.lit("|"), F.col(c))))
+
+
+def identified(rows: DataFrame, columns: list[str], scratch: Scratch, more: Callable[[Callable[..., Column]], list[Column]] | None = None, seeds: int = 8) -> tuple[DataFrame, str, int]:
+    """(v, ...) written, its path and the seed: rows, distinct in columns, under 64-bit hashes of these, with what more makes of the hash
+    function, or with the columns.
 
     Whether two rows share a hash is tested on all of them, and another seed is taken if so.
     """
     for seed in range(seeds):
-        key = lambda *cs, s=seed: F.xxhash64(F.lit(s), *(x for c in cs for x in (F.lit("|"), F.col(c))))
-        out, path = scratch.write(rows.select(key(*columns).alias("v"), *more(key)))
+        key = hashed(seed)
+        out, path = scratch.write(rows.select(key(*columns).alias("v"), *(more(key) if more else columns)))
         if out.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-            return out, path
+            return out, path, seed
         scratch.drop(path)
     raise RuntimeError("no seed keeps the 64-bit hashes apart")
 
