@@ -2,9 +2,14 @@
 
 Method: low-diameter decomposition. At each level every vertex draws an exponential shift; a cluster starts to grow from a vertex the
 earlier the larger its shift, one hop a round, and each vertex joins the cluster that reaches it first. Clusters are contracted to
-super-vertices, the same is done with the edges left between clusters, and the assignments of all levels are composed. Growth is cut
-after a few rounds a level: whichever centre a vertex has by then is in its component, so contraction stays right, and the edges
-that remain go to the next level.
+super-vertices, the same is done with the edges left between clusters, and the assignments of all levels are composed.
+
+At the first level, where every round would shuffle all edges, a vertex looks at its neighbours only: it stays a centre if it starts
+before any of them reaches it, else it follows the neighbour that reaches it first, and that one its own, up to a centre. These
+clusters are connected too, and need one pass over the edges. From the second level on, waves grow hop by hop, and only vertices
+reached anew send on. Growth can go on until no vertex is reached sooner; by default it is cut after a few hops, as the data has chains of over
+a hundred records, each hop of which would be a round, while contraction takes them at the next level. Whichever way a vertex takes, its
+centre is in its component, so the result is exact for any cut.
 
 All state is in tables of 64-bit ids: one row a vertex, one row an edge. No adjacency list is ever collected, the message to a vertex
 is combined on the map side (a minimum), and the few vertices that hold more than 1/1000 of the edges are looked up by broadcast, so
@@ -13,16 +18,16 @@ a hub costs no more than its share of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pathweave.functions.ids import fix_id_for_mapping
-from pathweave.runtime import BLANKS, HEAVY, Scratch, lookup, once
+from pathweave.runtime import BLANKS, HEAVY, Scratch, hashed, identified, lookup, once
 
 #: Mean shift, in hops: large against the hops of a level, so that few waves meet and clusters are as large as the hops allow.
 MEAN_SHIFT = 32.0
-#: Rounds of growth: one at the first level, where every round would shuffle all edges, then this many.
-HOPS = 4
+#: Hops that waves grow at each level after the first; None: until no vertex is reached sooner. Measured in the README.
+HOPS = 3
 
 
 def _shift(v: Column, level: int) -> Column:
@@ -31,11 +36,6 @@ def _shift(v: Column, level: int) -> Column:
     return -F.log(u) * MEAN_SHIFT
 
 
-def _cheapest(messages: DataFrame) -> DataFrame:
-    """Of all messages (v, key, c) the one with the least key for each v, combined before the shuffle."""
-    return messages.groupBy("v").agg(F.min_by("c", "key").alias("c"), F.min("key").alias("key"), F.sum("deg").alias("deg"))
-
-
 def _both(edges: DataFrame) -> DataFrame:
     pair = F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))
     return edges.select(F.inline(pair))
@@ -47,59 +47,96 @@ def _heavy(labels: DataFrame, n_edges: int, scratch: Scratch) -> DataFrame | Non
     return None if h.isEmpty() else scratch.write(h.coalesce(1))[0]
 
 
-def _decompose(edges: DataFrame, n_edges: int, level: int, hops: int, scratch: Scratch) -> tuple[DataFrame, str, DataFrame | None]:
-    """Labels (v, c, deg) of one level: c is the centre whose wave reaches v first within so many hops."""
+def _counted(df: DataFrame, scratch: Scratch, **counts: Column) -> tuple[DataFrame, str, dict]:
+    """df written, with counts taken on the way."""
+    seen = Observation()
+    out, path = scratch.write(df.observe(seen, *(c.alias(k) for k, c in counts.items())))
+    return out, path, seen.get
+
+
+def _first_arrivals(edges: DataFrame, level: int, scratch: Scratch) -> tuple[DataFrame, str]:
+    """(v, c, key, deg): the vertex whose wave reaches v first within a hop, when, and v's degree; a neighbour's start follows from its id."""
     own = -_shift(F.col("v"), level)
-    # the first hop needs no join: a neighbour's start time follows from its id
-    first = _cheapest(_both(edges).select("v", F.col("w").alias("c"), (1 - _shift(F.col("w"), level)).alias("key"), F.lit(1).cast("bigint").alias("deg")))
+    sent = _both(edges).select("v", F.col("w").alias("c"), (1 - _shift(F.col("w"), level)).alias("key"))
+    first = sent.groupBy("v").agg(F.min_by("c", "key").alias("c"), F.min("key").alias("key"), F.count(F.lit(1)).alias("deg"))
     at_home = own <= F.col("key")
-    labels, path = scratch.write(first.select("v", F.when(at_home, F.col("v")).otherwise(F.col("c")).alias("c"), F.when(at_home, own).otherwise(F.col("key")).alias("key"), "deg"))
-    heavy = _heavy(labels, n_edges, scratch)
-    for _ in range(hops - 1):
-        sent = lookup(_both(edges).select(F.col("w").alias("s"), F.col("v").alias("t")), "s", labels.select("v", "c", "key"), "v", heavy)
-        waves = sent.select(F.col("t").alias("v"), "c", (F.col("key") + 1).alias("key"), F.lit(0).cast("bigint").alias("deg"))
+    return scratch.write(first.select("v", F.when(at_home, F.col("v")).otherwise(F.col("c")).alias("c"), F.when(at_home, own).otherwise(F.col("key")).alias("key"), "deg"))
+
+
+def _followed(labels: DataFrame, path: str, heavy: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, str]:
+    """(v, c) with c a centre: each vertex's way followed by doubling. Starts grow earlier along it, so it has an end."""
+    moved = 1
+    while moved:
+        nxt = labels.filter(F.col("v") != F.col("c")).select(F.col("v").alias("w"), F.col("c").alias("further"))
+        to = F.coalesce("further", "c")
+        old = path
+        labels, path, seen = _counted(lookup(labels.select("v", "c"), "c", nxt, "w", heavy, "left").select("v", to.alias("c"), F.col("further").isNotNull().alias("moved")), scratch, moved=F.count_if("moved"))
+        scratch.drop(old)
+        moved = seen["moved"]
+    return labels.select("v", "c"), path
+
+
+def _grown(edges: DataFrame, labels: DataFrame, path: str, heavy: DataFrame | None, hops: int | None, scratch: Scratch) -> tuple[DataFrame, str]:
+    """(v, c) after the waves have grown by so many hops, the first of which is made; without hops until no vertex is reached sooner."""
+    labels = labels.select("v", "c", "key", F.lit(True).alias("new"))
+    hop = 1
+    while hops is None or hop < hops:
+        senders = labels.filter("new").select("v", "c", "key")
+        sent = lookup(_both(edges).select(F.col("w").alias("s"), F.col("v").alias("t")), "s", senders, "v", heavy)
+        waves = sent.select(F.col("t").alias("v"), "c", (F.col("key") + 1).alias("key"), F.lit(None).cast("double").alias("was"))
+        best = labels.select("v", "c", "key", F.col("key").alias("was")).unionByName(waves).groupBy("v").agg(F.min_by("c", "key").alias("c"), F.min("key").alias("key"), F.max("was").alias("was"))
         old = path
-        labels, path = scratch.write(_cheapest(labels.select("v", "c", "key", "deg").unionByName(waves)))
+        labels, path, seen = _counted(best.select("v", "c", "key", (F.col("key") < F.col("was")).alias("new")), scratch, new=F.count_if("new"))
         scratch.drop(old)
-    return labels, path, heavy
+        hop += 1
+        if not seen["new"]:
+            break
+    return labels.select("v", "c"), path
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, hops: int = HOPS) -> DataFrame | None:
+def connected_components(edges: DataFrame, scratch: Scratch, hops: int | None = HOPS) -> DataFrame | None:
     """(v, comp) for every endpoint of edges (a, b: 64-bit ids, a < b, distinct); None where there are no edges.
 
-    Two vertices get the same comp exactly if a path joins them. Isolated vertices aren't in edges and get no row.
+    Two vertices get the same comp exactly if a path joins them. Isolated vertices aren't in edges and get no row. hops cuts the growth
+    at the levels after the first; the result is the same.
     """
-    levels: list[tuple[DataFrame, str, int]] = []
-    e, e_path = scratch.write(edges)
-    n = e.count()
-    if not n:
-        return None
-    level = 0
+    levels: list[tuple[DataFrame, str]] = []
+    e, e_path, seen = _counted(edges, scratch, n=F.count(F.lit(1)))
+    n, level = seen["n"], 0
     while n:
-        labels, l_path, heavy = _decompose(e, n, level, 1 if level == 0 else hops, scratch)
+        labels, path = _first_arrivals(e, level, scratch)
+        heavy = _heavy(labels, n, scratch)
+        labels, path = _grown(e, labels, path, heavy, hops, scratch) if level else _followed(labels, path, heavy, scratch)
         names = labels.select("v", F.col("c").alias("cv"))
-        once = lookup(e, "a", names.withColumnRenamed("cv", "ca"), "v", heavy).select("ca", "b")
-        between = lookup(once, "b", names.withColumnRenamed("cv", "cb"), "v", heavy).filter("ca <> cb")
-        nxt, nxt_path = scratch.write(between.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
-        levels.append((labels.select("v", "c"), l_path, n))
-        scratch.drop(e_path)
-        e, e_path, n = nxt, nxt_path, nxt.count()
+        one = lookup(e, "a", names.withColumnRenamed("cv", "ca"), "v", heavy).select("ca", "b")
+        between = lookup(one, "b", names.withColumnRenamed("cv", "cb"), "v", heavy).filter("ca <> cb")
+        left = between.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+        levels.append((labels, path))
+        old = e_path
+        e, e_path, seen = _counted(left, scratch, n=F.count(F.lit(1)))
+        scratch.drop(old)
+        n = seen["n"]
         level += 1
-        scratch.release()
     scratch.drop(e_path)
+    if not levels:
+        return None
     comp, comp_path = levels[-1][0].withColumnRenamed("c", "comp"), levels[-1][1]
-    for labels, path, _ in reversed(levels[:-1]):
+    for labels, path in reversed(levels[:-1]):
         up = comp.withColumnRenamed("v", "c")
-        sizes = labels.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-        heavy = sizes.filter(F.col("n") > max(labels.count() // HEAVY, 1000)).select("c")
-        joined = lookup(labels, "c", up, "c", None if heavy.isEmpty() else heavy, "left")
-        out, out_path = scratch.write(joined.select("v", F.coalesce("comp", "c").alias("comp")))
+        out, out_path = scratch.write(lookup(labels, "c", up, "c", _hot(labels, "c", scratch), "left").select("v", F.coalesce("comp", "c").alias("comp")))
         scratch.drop(path, comp_path)
         comp, comp_path = out, out_path
-        scratch.release()
     return comp
 
 
+def _hot(rows: DataFrame, column: str, scratch: Scratch) -> DataFrame | None:
+    """The values of a column that more than 1/HEAVY of the rows have, at most HEAVY of them; None if there are none."""
+    sizes, path, seen = _counted(rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter("n > 1000"), scratch, n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return None
+    return sizes.filter(F.col("n") > rows.count() // HEAVY).select(column)
+
+
 def records_of(mappings: DataFrame) -> DataFrame:
     """(d1, r1, d2, r2): the databases and ids of the rows' two records. Rows with a null or blank cell among the four are left out."""
     cells = once(mappings, *(F.btrim(c, F.lit(BLANKS)).alias(c) for c in ("src_db", "src_id", "dst_db", "dst_id")))
@@ -121,25 +158,14 @@ def group_records(mappings: DataFrame) -> DataFrame:
     spark = mappings.sparkSession
     scratch = Scratch(spark, "groups")
     pairs = records_of(mappings)
-    for seed in range(8):
-        key = lambda db, id_, s=seed: F.xxhash64(F.lit(s), F.col(db), F.lit("|"), F.col(id_))
-        both = F.array(*(F.struct(F.col(d).alias("rec_db"), F.col(i).alias("rec_id")) for d, i in (("d1", "r1"), ("d2", "r2"))))
-        records = pairs.select(F.inline(both)).distinct()
-        vertices, v_path = scratch.write(records.select(key("rec_db", "rec_id").alias("v"), "rec_db", "rec_id"))
-        clash = vertices.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-        if clash:
-            break
-        scratch.drop(v_path)
-    else:
-        raise RuntimeError("no seed keeps the records' 64-bit hashes apart")
-    scratch.release()
+    both = F.array(*(F.struct(F.col(d).alias("rec_db"), F.col(i).alias("rec_id")) for d, i in (("d1", "r1"), ("d2", "r2"))))
+    vertices, _, seed = identified(pairs.select(F.inline(both)).distinct(), ["rec_db", "rec_id"], scratch)
+    key = hashed(seed)
     ends = once(pairs, key("d1", "r1").alias("x"), key("d2", "r2").alias("y")).filter("x <> y")
     edges = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     comp = connected_components(edges, scratch)
     if comp is None:
         return vertices.select("rec_db", "rec_id", F.concat_ws("|", "rec_db", "rec_id").alias("group_key"))
-    named = vertices.join(comp, "v", "left").select(F.coalesce("comp", "v").alias("comp"), "rec_db", "rec_id")
+    named, _ = scratch.write(vertices.join(comp, "v", "left").select(F.coalesce("comp", "v").alias("comp"), "rec_db", "rec_id"))
     least = named.groupBy("comp").agg(F.min(F.concat_ws("|", "rec_db", "rec_id")).alias("group_key"))
-    sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
-    heavy = sizes.filter(F.col("n") > max(comp.count() // HEAVY, 1000)).select("comp")
-    return lookup(named, "comp", least, "comp", None if heavy.isEmpty() else heavy).select("rec_db", "rec_id", "group_key")
+    return lookup(named, "comp", least, "comp", _hot(named, "comp", scratch)).select("rec_db", "rec_id", "group_key")
