@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from pathweave.runtime import HEAVY, Scratch, filled, identified, lookup
+from pathweave.runtime import Scratch, filled, heavy_keys, identified, lookup
 
 ALIVE, PEELED, SPLICED = 0, 1, 2
 #: A node on the way up: its id, uri and parent's id; its children left (number, exclusive or of their ids) and the descendants already
@@ -31,9 +31,7 @@ def parents_of(index: DataFrame) -> DataFrame:
     nodes = rows.groupBy("uri").agg(F.min("parent").alias("parent"))
     named = nodes.select("parent").filter(F.col("parent").isNotNull()).distinct()
     known = named.join(nodes.select(F.col("uri").alias("known")), F.col("parent") == F.col("known"), "left_semi").select("parent", F.lit(True).alias("there"))
-    n = nodes.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
-    heavy = n.filter((F.col("n") > HEAVY) & F.col("parent").isNotNull()).orderBy(F.desc("n"), "parent").limit(HEAVY).select("parent")
-    return lookup(nodes, "parent", known, "parent", heavy, "left").select("uri", F.when(F.col("there"), F.col("parent")).alias("parent"))
+    return lookup(nodes, "parent", known, "parent", heavy_keys(nodes, "parent"), "left").select("uri", F.when(F.col("there"), F.col("parent")).alias("parent"))
 
 
 def _grown(nodes: DataFrame) -> DataFrame:
@@ -80,7 +78,7 @@ def _spliced(rest: DataFrame, turn: int) -> DataFrame:
     return alive.unionByName(out.withColumn("state", F.lit(SPLICED)))
 
 
-def _named(layer: DataFrame, above: DataFrame, heavy: DataFrame | None, below: Column) -> DataFrame:
+def _named(layer: DataFrame, above: DataFrame, heavy: list | None, below: Column) -> DataFrame:
     """A layer's nodes under their parents above, whose uris and paths are known; caught where the parent is."""
     table = above.select("v", F.col("root_uri").alias("p_root"), F.col("depth_no").alias("p_depth"), F.col("uri_path").alias("p_path"))
     rows = lookup(layer, "p", table, "v", heavy, "left")
@@ -109,9 +107,7 @@ def hierarchies(index: DataFrame) -> DataFrame:
     links, links_path = scratch.write(parents_of(index))
     nodes, nodes_path, _ = identified(links, ["uri"], scratch, lambda key: [F.when(F.col("parent").isNotNull(), key("parent")).alias("p"), F.col("uri")])
     scratch.drop(links_path)
-    sizes = nodes.filter(F.col("p").isNotNull()).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    hubs, _ = scratch.write(sizes.filter(F.col("n") > HEAVY).orderBy(F.desc("n"), "p").limit(HEAVY).select("p"))
-    heavy = None if hubs.isEmpty() else hubs
+    heavy = heavy_keys(nodes, "p")
     rest, _ = scratch.write(_grown(nodes))
     scratch.drop(nodes_path)
     layers: list[tuple[int, DataFrame]] = []

@@ -170,8 +170,7 @@ def split_fields(entries: DataFrame, key: str = "entry_key", fields: tuple[str,
     else:
         named = cut.withColumn("rule", F.concat_ws(":", "field", "skeleton")).drop("skeleton")
         table = rules.select(F.concat_ws(":", "field", "skeleton").alias("rule"), "start", "length", "kind")
-        heavy = heavy_keys(named, "rule")
-        ruled = lookup(named, "rule", table, "rule", None if heavy.isEmpty() else heavy)
+        ruled = lookup(named, "rule", table, "rule", heavy_keys(named, "rule"))
     raw = ruled.select(key, "field", "i", "kind", F.array_join(F.slice("tokens", F.col("start"), F.col("length")), "").alias("raw"))
     trim = lambda c: F.btrim(c, F.lit(BLANKS))
     value = (

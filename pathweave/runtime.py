@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent
-#: A key is heavy when it holds more than 1/HEAVY of the rows, so there are at most HEAVY heavy keys: that bounds what is broadcast.
+#: A key is heavy when it holds more than 1/HEAVY of the rows, so there are at most HEAVY heavy keys.
 HEAVY = 1000
+#: Parts that the rows of a heavy key are joined in.
+SALTS = 256
 
 #: Spark's setting that deletes a query's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -105,28 +107,30 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     return df.repartition(cores * per_core)
 
 
-def heavy_keys(df: DataFrame, key: str, total: int | None = None) -> DataFrame:
+def heavy_keys(df: DataFrame, key: str, total: int | None = None) -> list:
     """The keys of df that hold more than 1/HEAVY of its rows (at most HEAVY of them), counted over all rows with map-side combining."""
+    sizes = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1000").select(key, "n_rows")
+    most = sizes.orderBy(F.desc("n_rows"), key).limit(HEAVY).collect()
+    if not most:
+        return []
     n = df.count() if total is None else total
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > max(n // HEAVY, 1000)).select(key)
+    return [r[0] for r in most if r[1] > n // HEAVY]
 
 
-def lookup(left: DataFrame, key: str, table: DataFrame, table_key: str, heavy: DataFrame | None, how: str = "inner") -> DataFrame:
-    """Join left with a table that is unique on its key, with left's heavy keys kept out of the shuffle.
+def lookup(left: DataFrame, key: str, table: DataFrame, table_key: str, heavy: list | None, how: str = "inner") -> DataFrame:
+    """Join left with a table that is unique on its key, with the rows of left's heavy keys salted.
 
-    heavy has one column: at most HEAVY keys. Their rows of the table are broadcast; rows of left with other keys take a shuffled join.
+    heavy has at most some thousand keys. Their rows of left go to SALTS parts by a hash of the row, their rows of the table to all of
+    these: one shuffle, and no task gets more than a share of a key.
     """
     cols = [c for c in table.columns if c != table_key]
     t = table.withColumnRenamed(table_key, "__k")
-    if heavy is None:
+    if not heavy:
         return left.join(t, left[key] == t["__k"], how).select(*left.columns, *cols)
-    h = heavy.select(F.col(heavy.columns[0]).alias("__h"))
-    few = t.join(F.broadcast(h), t["__k"] == F.col("__h"), "left_semi")
-    hot = left.join(F.broadcast(h), left[key] == F.col("__h"), "left_semi")
-    cold = left.join(F.broadcast(h), left[key] == F.col("__h"), "left_anti")
-    a = hot.join(F.broadcast(few), hot[key] == few["__k"], how).select(*left.columns, *cols)
-    b = cold.join(t, cold[key] == t["__k"], how).select(*left.columns, *cols)
-    return a.unionByName(b)
+    none = F.lit(0).cast("bigint")
+    salted = left.withColumn("__s", F.when(F.col(key).isin(heavy), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(none))
+    parts = t.withColumn("__t", F.explode(F.sequence(none, F.when(F.col("__k").isin(heavy), F.lit(SALTS - 1).cast("bigint")).otherwise(none))))
+    return salted.join(parts, (F.col(key) == F.col("__k")) & (F.col("__s") == F.col("__t")), how).select(*left.columns, *cols)
 
 
 def hashed(seed: int) -> Callable[..., Column]:
