@@ -162,5 +162,4 @@ def map_submissions(submissions: DataFrame, registry: DataFrame) -> DataFrame:
     rows = submissions.select("submission_id", F.inline(sides)).filter(filled("name").isNotNull())
     scratch = Scratch(submissions.sparkSession, "typed")
     matched, _ = scratch.write(match_names(rows.select("name").distinct(), registry).select("name", "db_id"))
-    heavy = heavy_keys(rows, "name")
-    return lookup(rows, "name", matched, "name", None if heavy.isEmpty() else heavy).select("submission_id", "side", "db_id")
+    return lookup(rows, "name", matched, "name", heavy_keys(rows, "name")).select("submission_id", "side", "db_id")

@@ -12,7 +12,7 @@ a hundred records, each hop of which would be a round, while contraction takes t
 centre is in its component, so the result is exact for any cut.
 
 All state is in tables of 64-bit ids: one row a vertex, one row an edge. No adjacency list is ever collected, the message to a vertex
-is combined on the map side (a minimum), and the few vertices that hold more than 1/1000 of the edges are looked up by broadcast, so
+is combined on the map side (a minimum), and the few vertices that hold more than 1/1000 of the edges are salted, so
 a hub costs no more than its share of rows.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pathweave.functions.ids import fix_id_for_mapping
-from pathweave.runtime import BLANKS, HEAVY, Scratch, hashed, identified, lookup, once
+from pathweave.runtime import HEAVY, Scratch, hashed, heavy_keys, identified, lookup, once, strip
 
 #: Mean shift, in hops: large against the hops of a level, so that few waves meet and clusters are as large as the hops allow.
 MEAN_SHIFT = 32.0
@@ -41,10 +41,9 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(pair))
 
 
-def _heavy(labels: DataFrame, n_edges: int, scratch: Scratch) -> DataFrame | None:
-    """Vertices with more than 1/HEAVY of the edges, at most 2 * HEAVY of them; None if there are none."""
-    h = labels.filter(F.col("deg") > max(n_edges // HEAVY, 1000)).select("v")
-    return None if h.isEmpty() else scratch.write(h.coalesce(1))[0]
+def _heavy(labels: DataFrame, n_edges: int) -> list[int]:
+    """Vertices with more than 1/HEAVY of the edges, at most 2 * HEAVY of them."""
+    return [r.v for r in labels.filter(F.col("deg") > max(n_edges // HEAVY, 1000)).select("v").collect()]
 
 
 def _counted(df: DataFrame, scratch: Scratch, **counts: Column) -> tuple[DataFrame, str, dict]:
@@ -63,20 +62,27 @@ def _first_arrivals(edges: DataFrame, level: int, scratch: Scratch) -> tuple[Dat
     return scratch.write(first.select("v", F.when(at_home, F.col("v")).otherwise(F.col("c")).alias("c"), F.when(at_home, own).otherwise(F.col("key")).alias("key"), "deg"))
 
 
-def _followed(labels: DataFrame, path: str, heavy: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, str]:
-    """(v, c) with c a centre: each vertex's way followed by doubling. Starts grow earlier along it, so it has an end."""
-    moved = 1
-    while moved:
-        nxt = labels.filter(F.col("v") != F.col("c")).select(F.col("v").alias("w"), F.col("c").alias("further"))
-        to = F.coalesce("further", "c")
-        old = path
-        labels, path, seen = _counted(lookup(labels.select("v", "c"), "c", nxt, "w", heavy, "left").select("v", to.alias("c"), F.col("further").isNotNull().alias("moved")), scratch, moved=F.count_if("moved"))
+def _followed(labels: DataFrame, path: str, heavy: list[int], scratch: Scratch) -> tuple[DataFrame, str]:
+    """(v, c) with c a centre: each vertex's way followed to its end, which it has, as starts grow earlier along it.
+
+    Only vertices that others follow and that follow on themselves are between; their ways are doubled, then all are led to the end.
+    """
+    led = labels.filter(F.col("v") != F.col("c")).select("v", "c")
+    followed = led.select(F.col("c").alias("w")).distinct()
+    between, b_path, seen = _counted(led.join(followed, F.col("v") == F.col("w"), "left_semi").select(F.col("v").alias("w"), F.col("c").alias("further"), F.lit(True).alias("moved")), scratch, moved=F.count_if("moved"))
+    while seen["moved"]:
+        nxt = between.select(F.col("w").alias("x"), F.col("further").alias("f"))
+        old = b_path
+        more = lookup(between.select("w", "further"), "further", nxt, "x", heavy, "left")
+        between, b_path, seen = _counted(more.select("w", F.coalesce("f", "further").alias("further"), F.col("f").isNotNull().alias("moved")), scratch, moved=F.count_if("moved"))
         scratch.drop(old)
-        moved = seen["moved"]
-    return labels.select("v", "c"), path
+    ends = between.select("w", "further")
+    out, o_path = scratch.write(lookup(labels.select("v", "c"), "c", ends, "w", heavy, "left").select("v", F.coalesce("further", "c").alias("c")))
+    scratch.drop(path, b_path)
+    return out, o_path
 
 
-def _grown(edges: DataFrame, labels: DataFrame, path: str, heavy: DataFrame | None, hops: int | None, scratch: Scratch) -> tuple[DataFrame, str]:
+def _grown(edges: DataFrame, labels: DataFrame, path: str, heavy: list[int], hops: int | None, scratch: Scratch) -> tuple[DataFrame, str]:
     """(v, c) after the waves have grown by so many hops, the first of which is made; without hops until no vertex is reached sooner."""
     labels = labels.select("v", "c", "key", F.lit(True).alias("new"))
     hop = 1
@@ -105,7 +111,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, hops: int | None =
     n, level = seen["n"], 0
     while n:
         labels, path = _first_arrivals(e, level, scratch)
-        heavy = _heavy(labels, n, scratch)
+        heavy = _heavy(labels, n)
         labels, path = _grown(e, labels, path, heavy, hops, scratch) if level else _followed(labels, path, heavy, scratch)
         names = labels.select("v", F.col("c").alias("cv"))
         one = lookup(e, "a", names.withColumnRenamed("cv", "ca"), "v", heavy).select("ca", "b")
@@ -123,23 +129,15 @@ def connected_components(edges: DataFrame, scratch: Scratch, hops: int | None =
     comp, comp_path = levels[-1][0].withColumnRenamed("c", "comp"), levels[-1][1]
     for labels, path in reversed(levels[:-1]):
         up = comp.withColumnRenamed("v", "c")
-        out, out_path = scratch.write(lookup(labels, "c", up, "c", _hot(labels, "c", scratch), "left").select("v", F.coalesce("comp", "c").alias("comp")))
+        out, out_path = scratch.write(lookup(labels, "c", up, "c", heavy_keys(labels, "c"), "left").select("v", F.coalesce("comp", "c").alias("comp")))
         scratch.drop(path, comp_path)
         comp, comp_path = out, out_path
     return comp
 
 
-def _hot(rows: DataFrame, column: str, scratch: Scratch) -> DataFrame | None:
-    """The values of a column that more than 1/HEAVY of the rows have, at most HEAVY of them; None if there are none."""
-    sizes, path, seen = _counted(rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter("n > 1000"), scratch, n=F.count(F.lit(1)))
-    if not seen["n"]:
-        return None
-    return sizes.filter(F.col("n") > rows.count() // HEAVY).select(column)
-
-
 def records_of(mappings: DataFrame) -> DataFrame:
     """(d1, r1, d2, r2): the databases and ids of the rows' two records. Rows with a null or blank cell among the four are left out."""
-    cells = once(mappings, *(F.btrim(c, F.lit(BLANKS)).alias(c) for c in ("src_db", "src_id", "dst_db", "dst_id")))
+    cells = once(mappings, *(strip(c).alias(c) for c in ("src_db", "src_id", "dst_db", "dst_id")))
     rows = cells.filter("src_db <> '' and src_id <> '' and dst_db <> '' and dst_id <> ''")
     upper = once(rows, F.upper("src_db").alias("d1"), F.col("src_id").alias("i1"), F.upper("dst_db").alias("d2"), F.col("dst_id").alias("i2"))
     return once(upper, F.col("d1"), fix_id_for_mapping("d1", "i1", kegg_suffix=False).alias("r1"), F.col("d2"), fix_id_for_mapping("d2", "i2", kegg_suffix=False).alias("r2"))
@@ -168,4 +166,4 @@ def group_records(mappings: DataFrame) -> DataFrame:
         return vertices.select("rec_db", "rec_id", F.concat_ws("|", "rec_db", "rec_id").alias("group_key"))
     named, _ = scratch.write(vertices.join(comp, "v", "left").select(F.coalesce("comp", "v").alias("comp"), "rec_db", "rec_id"))
     least = named.groupBy("comp").agg(F.min(F.concat_ws("|", "rec_db", "rec_id")).alias("group_key"))
-    return lookup(named, "comp", least, "comp", _hot(named, "comp", scratch)).select("rec_db", "rec_id", "group_key")
+    return lookup(named, "comp", least, "comp", heavy_keys(named, "comp")).select("rec_db", "rec_id", "group_key")
