@@ -6,7 +6,7 @@ with a count. The histogram has at most as many entries as the capacity, whateve
 back to the documents by their rank among the documents of equal length.
 
 Ranks are made without ordering all documents of a length in one task: each length is cut into buckets by hash, rows are numbered
-within a bucket, and the buckets' offsets come from their counts.
+within a bucket, and the buckets' offsets come from their counts. A length has more buckets the more texts have it.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from pathweave.runtime import Scratch, ship
 
-#: Buckets of one length: a length that a third of the corpus has is numbered in this many parts.
-BUCKETS = 256
+#: Texts in one bucket of a length, on average: a length has as many buckets as its texts need, however many have it.
+BUCKET_TEXTS = 20_000
 
 PLACED = "doc_id bigint, piece int, first_token bigint, n_tokens int, container bigint"
 
@@ -102,7 +102,7 @@ def _place(slots: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
     return run
 
 
-def pack(sizes: DataFrame, capacity: int, buckets: int = BUCKETS) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, bucket_texts: int = BUCKET_TEXTS) -> DataFrame:
     """p7: (doc_id, piece, first_token, n_tokens, container), one row per text, or per piece of a text longer than the capacity.
 
     sizes has (doc_id, n_tokens). A text of at most capacity tokens is whole in one container; a longer one is cut into pieces of
@@ -117,9 +117,11 @@ def pack(sizes: DataFrame, capacity: int, buckets: int = BUCKETS) -> DataFrame:
     cut = texts.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), whole)).alias("piece"))
     first = F.col("piece").cast("bigint") * capacity
     pieces, _ = scratch.write(cut.select("doc_id", "piece", first.alias("first_token"), F.least(F.lit(capacity).cast("bigint"), F.col("n_tokens") - first).cast("int").alias("n_tokens")))
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    lengths, _ = scratch.write(pieces.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")))
+    histogram = {r["n_tokens"]: r["n"] for r in lengths.collect()}  # at most capacity rows
+    buckets = F.broadcast(lengths.select("n_tokens", (F.floor(F.col("n") / bucket_texts) + 1).alias("buckets")))  # as many
+    bucketed = pieces.join(buckets, "n_tokens").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), "buckets")).drop("buckets")
     counts, _ = scratch.write(bucketed.groupBy("n_tokens", "bucket").agg(F.count(F.lit(1)).alias("n")))
-    histogram = {r["n_tokens"]: r["n"] for r in counts.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     slots = spark.sparkContext.broadcast(slots_of(pack_histogram(histogram, capacity)))
     before = Window.partitionBy("n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("n_tokens", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

@@ -30,6 +30,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces a worker remembers, and the longest that it does: some tens of MB.
 REMEMBERED, REMEMBERED_BYTES = 100_000, 64
+#: Pair tests a worker remembers: 200,000 of some 200 bytes each, 40 MB.
+REMEMBERED_PAIRS = 200_000
 #: Characters of text in one Arrow batch of results.
 BATCH = 2_000_000
 
@@ -107,7 +109,7 @@ class Tokenizer:
                 if inner == x:
                     break
                 x = inner
-        if len(self.compatible_memo) > 2_000_000:
+        if len(self.compatible_memo) >= REMEMBERED_PAIRS:
             self.compatible_memo.clear()
         self.compatible_memo[key] = ok
         return ok
@@ -225,6 +227,22 @@ def encode_corpus(documents: DataFrame, folder: str = TOKENIZERS, name: str = VO
     return spread(documents.select("doc_id", "text")).mapInArrow(_encode(vocabulary(spark, folder, name), False), "doc_id bigint, ids array<int>")
 
 
+def _decode(ranks: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tokenizer(ranks.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.decode(x or []) for x in batch.column(1).to_pylist()], pa.large_string()).cast(pa.string())], ["doc_id", "text"])
+
+    return run
+
+
+def decode_corpus(encoded: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text) of encoded (doc_id, ids): the texts that the ids stand for; '' for none."""
+    spark = encoded.sparkSession
+    ship(spark)
+    return encoded.select("doc_id", "ids").mapInArrow(_decode(vocabulary(spark, folder, name)), "doc_id bigint, text string")
+
+
 def count_tokens(documents: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) of every document, 0 for null and empty texts."""
     spark = documents.sparkSession

@@ -23,7 +23,7 @@ def test_histogram(capacity):
 def test_pack(spark):
     random.seed(1)
     rows = [(i, random.choice([None, 0, 1, 5, 5, 5, 30, 64, 65, 200]), 0, 0) for i in range(500)] + [(7, 5, 0, 0)]
-    got = pack(spark.createDataFrame(rows, "doc_id bigint, n_tokens int, piece int, container int"), 64, buckets=4).collect()
+    got = pack(spark.createDataFrame(rows, "doc_id bigint, n_tokens int, piece int, container int"), 64, bucket_texts=5).collect()
     fill = Counter()
     for r in got:
         fill[r.container] += r.n_tokens
