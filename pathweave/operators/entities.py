@@ -45,13 +45,13 @@ def unreferenced(elements: DataFrame, edges: DataFrame, kinds: list[str], spared
     return e.select("uri").join(edges.select(F.col("dst").alias("uri")), "uri", "left_anti")
 
 
-def remove_dangling(model: Model, kinds: list[str], rounds: int = 20) -> Model:
+def remove_dangling(model: Model, kinds: list[str]) -> Model:
     """JOI15: the model without elements of these classes that nothing points to, again and again until none is left."""
     from pathweave.runtime import Scratch
 
     scratch = Scratch(model.elements.sparkSession, "dangling")
     elements, edges = model.elements, model.edges
-    for _ in range(rounds):
+    while True:
         gone, _ = scratch.write(unreferenced(elements, edges, kinds))
         if gone.isEmpty():
             break
@@ -95,9 +95,32 @@ def canonical(references: DataFrame, warehouse: DataFrame, mapping: DataFrame, x
     unification = F.col("type") == "UnificationXref"
     by_xref = linked.select("uri", F.col("dst_id").alias("primary"), F.when(unification, 2).otherwise(3).alias("rank"), F.when(unification, "unification").otherwise("relationship").alias("how"))
     found = same.unionByName(by_id).unionByName(by_xref)
-    first = found.groupBy("uri").agg(F.min("rank").alias("least"))
-    best = found.join(first, "uri").filter(F.col("rank") == F.col("least")).groupBy("uri", "how").agg(F.min("primary").alias("primary"), F.max("primary").alias("most"))
-    return best.filter(F.col("primary") == F.col("most")).select("uri", "primary", "how")
+    ways = found.groupBy("uri", "rank", "how").agg(F.min("primary").alias("primary"), F.max("primary").alias("most"))
+    best = ways.groupBy("uri").agg(F.min_by(F.struct("primary", "most", "how"), "rank").alias("b")).select("uri", "b.*")
+    # a warehouse has one entry for a uri; what else is ambiguous is none
+    return best.filter((F.col("primary") == F.col("most")) | (F.col("how") == "uri")).select("uri", "primary", "how")
+
+
+def datasources_named(sources: DataFrame, *identifiers: str) -> DataFrame:
+    """JOI20, JOI25: (identifier, display_name): the names of the sources (identifier, display_names) with these identifiers, in any case."""
+    found = sources.filter(F.lower("identifier").isin([i.lower() for i in identifiers]))
+    return found.select("identifier", F.explode("display_names").alias("display_name"))
+
+
+def mapped_from(mapping: DataFrame, db: str) -> DataFrame:
+    """JOI7, JOI13: (dst_db, dst_id, n, src_dbs): how many ids map to each id of a database, and of which databases, sorted and joined."""
+    return mapping.filter(F.upper("dst_db") == db.upper()).groupBy("dst_db", "dst_id").agg(F.count(F.lit(1)).alias("n"), sorted_join("src_db").alias("src_dbs"))
+
+
+def minus(new: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """SET5: distinct keys of new that known doesn't have; nulls are neither."""
+    return new.select(key).dropna().distinct().join(known.select(key), key, "left_anti")
+
+
+def others(own: Column | str, *values: Column | str) -> Column:
+    """SET6: the distinct values besides an element's own, sorted; nulls left out."""
+    a = F.array_compact(F.array(*values))
+    return F.sort_array(F.array_remove(F.array_distinct(a), F.col(own) if isinstance(own, str) else own))
 
 
 def by_name(left: DataFrame, right: DataFrame) -> DataFrame:

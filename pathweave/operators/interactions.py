@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathweave.runtime import Scratch
+
 
 def _role(roles: DataFrame, role: str, molecule: bool | None, side: str) -> DataFrame:
     r = roles.filter(F.col("role") == role)
@@ -131,6 +133,9 @@ def infer(roles: DataFrame, relations: tuple[str, ...] = DEFAULT, blacklist: Dat
     """(a, relation, b), distinct, of these relations, without refs of the blacklist (ref)."""
     if blacklist is not None:
         roles = roles.join(blacklist, "ref", "left_anti")
+    if len(relations) > 1:
+        # every relation reads the roles twice or more: they are made once, a reaction's rows together
+        roles, _ = Scratch(roles.sparkSession, "roles").write(roles.distinct())
     out = None
     for name in relations:
         p = RELATIONS[name](roles)

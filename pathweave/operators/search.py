@@ -74,7 +74,7 @@ def member_counts(m: Model) -> DataFrame:
     inner = direct.join(sub, "src", "left_anti").select("src", "dst")
     scratch = Scratch(m.elements.sparkSession, "members")
     first = owners.join(direct, owners["uri"] == direct["src"]).select(F.col("uri").alias("owner"), F.col("dst").alias("uri")).distinct()
-    below = distances(inner, first, 1000, scratch, "owner").join(m.elements.select("uri", F.col("type").alias("kind")), "uri")
+    below = distances(inner, first, None, scratch, "owner").join(m.elements.select("uri", F.col("type").alias("kind")), "uri")
     physical, process = subtypes("PhysicalEntity", m.classes) + (["Gene"] if "Gene" in m.classes else []), subtypes("Process", m.classes)
     n = below.groupBy(F.col("owner").alias("uri")).agg(F.count_if(F.col("kind").isin(physical)).cast("int").alias("num_participants"), F.count_if(F.col("kind").isin(process)).cast("int").alias("num_processes"))
     joined = n.join(owners, "uri")
@@ -155,9 +155,13 @@ def hits_of(docs: DataFrame, elements: DataFrame, names: DataFrame) -> DataFrame
     )
 
 
-def top_pathways(docs: DataFrame, classes: dict[str, str]) -> DataFrame:
-    """FIL16: pathways in no other pathway with more than two processes."""
-    return docs.filter(type_filter("Pathway", classes) & (F.size(F.array_remove("pathway_uris", F.col("uri"))) == 0) & (F.col("num_processes") > 2))
+def top_pathways(docs: DataFrame, classes: dict[str, str], edges: DataFrame) -> DataFrame:
+    """FIL16, GRA12: pathways in no other pathway that have more than two processes, or a child pathway that has."""
+    pathways = docs.filter(type_filter("Pathway", classes))
+    large = pathways.filter("num_processes > 2").select("uri")
+    over = edges.filter("prop = 'pathwayComponent'").join(large.withColumnRenamed("uri", "dst"), "dst", "left_semi").select(F.col("src").alias("uri"))
+    top = pathways.filter(F.size(F.array_remove("pathway_uris", F.col("uri"))) == 0)
+    return top.join(large.unionByName(over).distinct(), "uri", "left_semi").select(*docs.columns)
 
 
 def drop_documents(index: DataFrame) -> DataFrame:

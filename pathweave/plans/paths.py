@@ -66,7 +66,7 @@ def traverse(model: Model, path: str, starts: DataFrame | None = None) -> DataFr
         e = _edges(model, s.prop)
         if s.transitive:
             e, _ = scratch.write(e)
-            step = distances(e, at.select(F.col("start"), "uri"), 1000, scratch, "start").filter("dist > 0").select("start", "uri")
+            step = distances(e, at.select(F.col("start"), "uri"), None, scratch, "start").filter("dist > 0").select("start", "uri")
         else:
             step = at.join(e, at["uri"] == e["src"]).select("start", F.col("dst").alias("uri")).distinct()
         if s.only:

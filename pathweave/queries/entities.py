@@ -8,7 +8,9 @@ from pathweave import binding as B
 from pathweave.functions import ids, text
 from pathweave.model import subtypes
 from pathweave.operators import entities as E
-from pathweave.runtime import filled, strip, table
+from pathweave.operators import search as S
+from pathweave.runtime import Scratch, filled, strip, table
+from pathweave.sources import flatfiles as R
 
 QUERIES, SQL = {}, {}
 T = table
@@ -57,23 +59,23 @@ def blank_ref_cleanup(s, d):
     return E.clean_xrefs(x).select("row_id", "db", "id")
 
 
-@query("select 'order:' || l_orderkey || '/' || l_linenumber as interaction from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey where n_name in ('GERMANY','FRANCE','CHINA') group by 1")
+@query("select 'order:' || l_orderkey || '/' || l_linenumber as interaction from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey where n_name in ('NATION_1','NATION_7','NATION_12') group by 1")
 def species_interaction_filter(s, d):
     """FIL13: interactions with a participant of a supported nation; parts abstain like small molecules."""
     li, su, na = T(s, d, "lineitem"), T(s, d, "supplier"), T(s, d, "nation")
     key = F.concat(F.lit("order:"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string")).alias("interaction")
     agents = li.join(su, F.col("l_suppkey") == F.col("s_suppkey")).join(na, F.col("s_nationkey") == F.col("n_nationkey")).select(key, F.lit("Protein").alias("kind"), F.col("n_name").alias("organism"))
     parts = li.select(key, F.lit("SmallMolecule").alias("kind"), F.lit(None).cast("string").alias("organism"))
-    return E.supported_interactions(agents.unionByName(parts), ["GERMANY", "FRANCE", "CHINA"])
+    return E.supported_interactions(agents.unionByName(parts), ["NATION_1", "NATION_7", "NATION_12"])
 
 
-@query("select 'customer:' || c_custkey as uri from customer join nation on n_nationkey = c_nationkey where n_name not in ('GERMANY','FRANCE') and not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select 'customer:' || c_custkey as uri from customer join nation on n_nationkey = c_nationkey where n_name not in ('NATION_1','NATION_7') and not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
 def unsupported_dangling(s, d):
-    """FIL14: customers that nothing refers to, those of supported nations apart."""
+    """FIL14: customers that no urgent order refers to, those of supported nations apart."""
     c = T(s, d, "customer").join(T(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     e = c.select(B.uri("customer", "c_custkey").alias("uri"), F.lit("Customer").alias("type"), "n_name")
-    refs = T(s, d, "orders").select(B.uri("customer", "o_custkey").alias("dst"))
-    return E.unreferenced(e, refs, ["Customer"], F.col("n_name").isin("GERMANY", "FRANCE"))
+    refs = T(s, d, "orders").filter("o_orderpriority = '1-URGENT'").select(B.uri("customer", "o_custkey").alias("dst"))
+    return E.unreferenced(e, refs, ["Customer"], F.col("n_name").isin("NATION_1", "NATION_7"))
 
 
 @query("select 'order:' || o_orderkey as uri from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
@@ -143,8 +145,7 @@ def map_forward(s, d):
 @query(f"with {MAPPING_SQL} select dst_db, dst_id, count(*) as n, string_agg(distinct src_db, ';' order by src_db) as src_dbs from mapping where dst_db = 'CHEBI' group by dst_db, dst_id")
 def map_reverse(s, d):
     """JOI7, JOI13: what maps to each id of a database."""
-    m = E.normalized_mapping(T(s, d, "mappings")).filter("dst_db = 'CHEBI'")
-    return m.groupBy("dst_db", "dst_id").agg(F.count(F.lit(1)).alias("n"), E.sorted_join("src_db").alias("src_dbs"))
+    return E.mapped_from(E.normalized_mapping(T(s, d, "mappings")), "ChEBI")
 
 
 @query(f"with {MAPPING_SQL}, t as (select src_db, src_id, list_sort(list(distinct dst_id)) as l from mapping where dst_db = 'UNIPROT' group by 1, 2) select src_db, src_id, len(l) as n_found, array_to_string(l[1:5], ';') as first_five, case when len(l) <= 5 then array_to_string(l, ';') else '' end as all_or_nothing from t")
@@ -155,11 +156,43 @@ def capped_symbols(s, d):
     return t.select("src_db", "src_id", F.size("l").cast("bigint").alias("n_found"), F.concat_ws(";", E.capped(F.col("l"), False)).alias("first_five"), F.concat_ws(";", E.capped(F.col("l"), True)).alias("all_or_nothing"))
 
 
-@query("select 'part:' || p_partkey as uri, p_name as name from part where 'part:' || p_partkey in (select 'part:' || l_partkey from lineitem where l_returnflag = 'R')")
+@query("select distinct 'part:' || l_partkey as uri, p_name as \"primary\", 'uri' as how from lineitem join part on p_partkey = l_partkey")
 def canonical_by_uri(s, d):
-    """JOI1: references found in the warehouse under the uri that follows from their id."""
-    refs = T(s, d, "lineitem").filter("l_returnflag = 'R'").select(B.uri("part", "l_partkey").alias("uri"))
-    return T(s, d, "part").select(B.uri("part", "p_partkey").alias("uri"), F.col("p_name").alias("name")).join(refs, "uri", "left_semi")
+    """JOI1: references found in the warehouse under their own uri."""
+    refs = T(s, d, "lineitem").select(B.uri("part", "l_partkey").alias("uri")).distinct()
+    wh = T(s, d, "part").select(B.uri("part", "p_partkey").alias("uri"), F.col("p_name").alias("primary"))
+    none = s.createDataFrame([], "src_id string, dst_id string"), s.createDataFrame([], "uri string, type string, id string")
+    return E.canonical(refs, wh, *none)
+
+
+@query(f"""with {MAPPING_SQL}, refs as (select distinct 'http://bioregistry.io/uniprot:' || src_id as uri, regexp_replace(regexp_extract(src_id, '[^/]*$'), '^[^:]*:', '') as id from mapping where src_db in ('HGNC', 'REFSEQ')),
+wh as (select distinct dst_id as prim from mapping where dst_db = 'UNIPROT'), ways as (select distinct src_id, dst_id from mapping where dst_db = 'UNIPROT' union select prim, prim from wh)
+select uri, min(dst_id) as "primary", 'id' as how from refs join ways on ways.src_id = refs.id group by uri having count(distinct dst_id) = 1""")
+def canonical_by_id(s, d):
+    """JOI2, JOI10: references without usable references of their own, by the id in their uri."""
+    m, _ = Scratch(s, "mapping").write(E.normalized_mapping(T(s, d, "mappings")))
+    to = m.filter("dst_db = 'UNIPROT'")
+    refs = m.filter("src_db in ('HGNC', 'REFSEQ')").select(F.concat(F.lit("http://bioregistry.io/uniprot:"), "src_id").alias("uri")).distinct()
+    wh = to.select(F.concat(F.lit("warehouse:"), F.col("dst_id")).alias("uri"), F.col("dst_id").alias("primary")).distinct()
+    return E.canonical(refs, wh, to, s.createDataFrame([], "uri string, type string, id string"))
+
+
+@query("with n as (select lower(p_name) as n, min('part:' || p_partkey) as t, count(*) as k from part group by 1) select 'item:' || p_partkey as uri, t as target from part join n on n.n = lower(p_name) where k = 1")
+def by_exact_name(s, d):
+    """JOI6: small molecules by exact name in any case."""
+    p = T(s, d, "part")
+    left = p.select(F.concat(F.lit("item:"), F.col("p_partkey").cast("string")).alias("uri"), F.upper("p_name").alias("name"))
+    return E.by_name(left, p.select(B.uri("part", "p_partkey").alias("uri"), F.col("p_name").alias("name")))
+
+
+@query(f"""with {MAPPING_SQL} select src_db, src_id, dst_db, dst_id, md5(src_db || '|' || src_id || '|' || dst_db || '|' || dst_id) as doc_id from mapping""")
+def mapping_from_warehouse(s, d):
+    """JOI23: mapping rows from warehouse references; relationship references count where they are an identity."""
+    m = T(s, d, "mappings")
+    first = F.coalesce(F.col("src_db"), F.lit("")) < "M"
+    x = m.select(F.col("dst_db").alias("primary_db"), F.col("dst_id").alias("primary"), F.when(first, "UnificationXref").otherwise("RelationshipXref").alias("type"), F.when(first, None).otherwise("identity").alias("relation"), F.col("src_db").alias("db"), F.col("src_id").alias("id"))
+    other = x.withColumn("type", F.lit("RelationshipXref")).withColumn("relation", F.lit("see-also")).withColumn("id", F.concat("id", F.lit("x")))
+    return E.mapping_from_warehouse(x.unionByName(other)).select("src_db", "src_id", "dst_db", "dst_id", "doc_id")
 
 
 @query(f"""with {MAPPING_SQL}, refs as (select distinct src_db || ':' || src_id as uri, src_id, src_db from mapping),
@@ -170,7 +203,7 @@ best as (select uri, min(rk) as rk from hit group by uri)
 select h.uri, min(prim) as "primary", case when min(h.rk) = 2 then 'unification' else 'relationship' end as how from hit h join best b on b.uri = h.uri and b.rk = h.rk group by h.uri having count(distinct prim) = 1""")
 def canonical_by_mapping(s, d):
     """JOI2-JOI5, JOI10, JOI24: the one warehouse id by unification references, else by relationship references."""
-    m = E.normalized_mapping(T(s, d, "mappings"))
+    m, _ = Scratch(s, "mapping").write(E.normalized_mapping(T(s, d, "mappings")))
     refs = m.select(F.concat_ws(":", "src_db", "src_id").alias("uri"), F.col("src_id").alias("id"), "src_db").distinct()
     to = m.filter("dst_db = 'UNIPROT'")
     wh = to.select(F.concat(F.lit("warehouse:"), F.col("dst_id")).alias("uri"), F.col("dst_id").alias("primary")).distinct()
@@ -223,13 +256,12 @@ def replace_refs(s, d):
     return E.replaced(e, swap)
 
 
-@query(f"with {MAPPING_SQL} select row_number() over (order by dst_id) as group_id, dst_id, string_agg(distinct src_db || ':' || src_id, ';' order by src_db || ':' || src_id) as uris from mapping where dst_db = 'HGNC' group by dst_id")
+@query(f"with {MAPPING_SQL} select md5(dst_id) as group_id, dst_id, string_agg(distinct src_db || ':' || src_id, ';' order by src_db || ':' || src_id) as uris from mapping where dst_db = 'HGNC' group by dst_id")
 def seed_groups(s, d):
     """JOI18: each id asked for, with the elements it resolves to, one group an id."""
     m = E.normalized_mapping(T(s, d, "mappings")).filter("dst_db = 'HGNC'")
     g = m.groupBy("dst_id").agg(E.sorted_join(F.concat_ws(":", "src_db", "src_id")).alias("uris"))
-    ids_ = g.select("dst_id").orderBy("dst_id").rdd.map(lambda r: r[0]).zipWithIndex().toDF("dst_id string, i bigint")
-    return g.join(ids_, "dst_id").select((F.col("i") + 1).alias("group_id"), "dst_id", "uris")
+    return g.select(F.md5("dst_id").alias("group_id"), "dst_id", "uris")
 
 
 @query("select 'order:' || l_orderkey as src, min('part:' || l_partkey) as dst from lineitem group by l_orderkey having count(distinct l_partkey) = 1")
@@ -251,15 +283,17 @@ def control_to_container(s, d):
 @query("select identifier, display_name from datasources, unnest(display_names) as t(display_name) where lower(identifier) in ('reactory', 'kinome')")
 def datasource_lookup(s, d):
     """JOI20, JOI25: sources by identifier in any case, with their names."""
-    x = T(s, d, "datasources").filter(F.lower("identifier").isin("reactory", "kinome"))
-    return x.select("identifier", F.explode("display_names").alias("display_name"))
+    return E.datasources_named(T(s, d, "datasources"), "REACTORY", "Kinome")
+
 
+ITEMS_SQL = "count(distinct l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d'))::int"
 
-@query("select 'order:' || l_orderkey as uri, count(distinct l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d')) as num_processes, count(distinct l_partkey) as num_participants from lineitem group by 1")
+
+@query(f"select 'order:' || l_orderkey as uri, count(distinct l_partkey)::int as num_participants, {ITEMS_SQL} as num_processes from lineitem group by 1 union all select distinct {B.ITEM_SQL}, 1, 0 from lineitem")
 def process_counts(s, d):
-    """AGG2: processes and participants of each container."""
-    li = T(s, d, "lineitem")
-    return li.groupBy(B.uri("order", "l_orderkey").alias("uri")).agg(F.countDistinct(B.item_uri()).alias("num_processes"), F.countDistinct("l_partkey").alias("num_participants"))
+    """AGG2: processes and participants of each pathway and interaction, over its child closure."""
+    m = B.model(s, d)
+    return S.member_counts(type(m)(m.elements, m.edges.filter("prop in ('component', 'participant')"), m.literals, (*m.parents, ("Complex", "PhysicalEntity"))))
 
 
 @query("select datasource, count(*) filter (where biopax_type = 'Pathway') as pathways, count(*) filter (where biopax_type <> 'Pathway') as interactions, count(distinct organism) as organisms from (select distinct trim(uri, E' \\n\\t\\r') as uri, biopax_type, datasource, organism from pathway_index) where uri <> '' group by datasource")
@@ -318,16 +352,16 @@ def model_union(s, d):
 @query("with prim as (select distinct regexp_extract(ac, '[A-Z][0-9][A-Z0-9]{3}[0-9]') as ac from uniprot_entries where ac is not null), known as (select distinct trim(src_id) as ac from mappings where upper(trim(src_db)) = 'UNIPROT') select ac from prim where ac <> '' and ac not in (select ac from known where ac is not null)")
 def new_minus_existing(s, d):
     """SET5, AGG8: primary accessions that the mapping doesn't have."""
-    prim = T(s, d, "uniprot_entries").select(F.regexp_extract("ac", "[A-Z][0-9][A-Z0-9]{3}[0-9]", 0).alias("ac")).filter("ac <> ''").distinct()
+    prim = T(s, d, "uniprot_entries").select(F.regexp_extract("ac", "[A-Z][0-9][A-Z0-9]{3}[0-9]", 0).alias("ac")).filter("ac <> ''")
     known = T(s, d, "mappings").filter(F.upper(F.trim("src_db")) == "UNIPROT").select(F.trim("src_id").alias("ac"))
-    return prim.join(known, "ac", "left_anti")
+    return E.minus(prim, known, "ac")
 
 
 @query("select uri, array_to_string(list_sort(list_filter(list_distinct([a, b]), lambda x: x <> uri)), ';') as others from (select trim(uri, E' \\n\\t\\r') as uri, coalesce(trim(pathway, E' \\n\\t\\r'), '') as a, coalesce(datasource, '') as b, doc_no from pathway_index where uri is not null) where uri <> ''")
 def self_exclusion(s, d):
     """SET6: an element's sets without itself."""
     p = T(s, d, "pathway_index").select(strip("uri").alias("uri"), F.coalesce(strip("pathway"), F.lit("")).alias("a"), F.coalesce("datasource", F.lit("")).alias("b")).filter("uri <> ''")
-    return p.select("uri", F.concat_ws(";", F.sort_array(F.array_remove(F.array_distinct(F.array("a", "b")), F.col("uri")))).alias("others"))
+    return p.select("uri", F.concat_ws(";", E.others("uri", "a", "b")).alias("others"))
 
 
 @query(f"select row_id, {FIX_SQL} as fixed from (select row_id, upper(trim(src_db)) as db, trim(src_id) as id from mappings where trim(src_db) <> '' and trim(src_id) <> '')")
@@ -391,14 +425,14 @@ def organism_fields(s, d):
     return u.select("entry_key", F.regexp_extract("os", "^([^(.]*)", 1).alias("organism"), F.regexp_extract("ox", "NCBI_TaxID=([0-9]+)", 1).cast("int").alias("taxon"))
 
 
-@query("select entry_key, regexp_replace(regexp_extract(de, 'RecName: Full=([^;]*)', 1), ' *\\{[^}]*\\}', '', 'g') as name from uniprot_entries where de is not null")
+@query("select entry_key::varchar as entry_name, trim(regexp_replace(regexp_extract(de, 'RecName: Full=([^;]*)', 1), '\\{[^}]*\\}', '', 'g')) as name from uniprot_entries where contains(de, 'RecName: Full=')")
 def protein_names(s, d):
-    """SCA22: the recommended name without evidence."""
-    u = T(s, d, "uniprot_entries").filter("de is not null")
-    return u.select("entry_key", F.regexp_replace(F.regexp_extract("de", "RecName: Full=([^;]*)", 1), r" *\{[^}]*\}", "").alias("name"))
+    """SCA22: the recommended name without evidence, by the flat-file parser."""
+    u = T(s, d, "uniprot_entries").select(F.col("entry_key").cast("string").alias("entry_name"), "de")
+    return R.uniprot_names(u).filter("is_standard").select("entry_name", "name")
 
 
-@query("select rule, count(*) as n from (select 'range.violated' as rule from lineitem where l_returnflag not in ('A', 'N') union all select 'blank.name' from pathway_index where display_name is null or trim(display_name) = '' union all select 'dangling' from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)) group by rule")
+@query("select rule, count(*) as n, 0 as fixed from (select 'range.violated' as rule from lineitem where l_returnflag not in ('A', 'N') union all select 'blank.name' from pathway_index where display_name is null or trim(display_name) = '' union all select 'dangling' from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)) group by rule")
 def rule_violations(s, d):
     """VAL1, VAL2, AGG7: violations by rule."""
     from pathweave.quality import Rule, check
@@ -408,7 +442,20 @@ def rule_violations(s, d):
         Rule("blank.name", T(s, d, "pathway_index").select(F.col("doc_no").cast("string").alias("uri"), "display_name"), filled("display_name").isNull()),
         Rule("dangling", T(s, d, "orders").select("o_orderkey").join(T(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select(B.uri("order", "o_orderkey").alias("uri")), F.lit(True)),
     ]
-    return check(rules).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return check(rules).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.count_if("fixed").cast("int").alias("fixed"))
+
+
+@query("select count(*) as n from lineitem where l_returnflag not in ('A', 'N')")
+def unfixed_errors(s, d):
+    """AGG7: errors that no fix removed; warnings and fixed ones don't count."""
+    from pathweave.quality import WARNING, Rule, check, unfixed_errors
+
+    rules = [
+        Rule("range.violated", T(s, d, "lineitem").select(B.item_uri().alias("uri"), "l_returnflag"), ~F.col("l_returnflag").isin("A", "N")),
+        Rule("blank.name", T(s, d, "pathway_index").select(F.col("doc_no").cast("string").alias("uri"), "display_name"), filled("display_name").isNull(), WARNING),
+        Rule("padded.uri", T(s, d, "pathway_index").select("uri"), F.col("uri") != strip("uri"), fixable=True),
+    ]
+    return unfixed_errors(check(rules))
 
 
 @query("""with g as (select 'generic:' || p_brand as src, 'memberPhysicalEntity' as prop, 'part:' || p_partkey as dst from part union all select 'part:' || p_partkey, 'entityReference', 'ref:' || p_type from part),

@@ -46,8 +46,9 @@ def parse_obo(s, d):
 def audit_lines(s, d):
     """SNK18, SCA30: audit lines as JSON, read back."""
     m = table(s, d, "mapping_submissions")
-    j = m.select("submission_id", F.to_json(F.struct(F.lit("search").alias("command"), F.substring(F.coalesce("src_db", F.lit("")), 1, 128).alias("query"))).alias("value"))
-    return j.select("submission_id", F.get_json_object("value", "$.query").alias("query"))
+    none = F.lit(None).cast("string")
+    lines = flat.audit_lines(m.select(F.col("submission_id").cast("string").alias("command"), F.coalesce("src_db", F.lit("")).alias("query"), none.alias("providers"), none.alias("error")))
+    return lines.select(F.get_json_object("value", "$.command").cast("bigint").alias("submission_id"), F.get_json_object("value", "$.query").alias("query"))
 
 
 @query("select identifier || chr(9) || coalesce(description, '') || chr(9) || source_kind || chr(9) || array_to_string(display_names, ';') || chr(9) || coalesce(num_pathways, 0) || chr(9) || coalesce(num_interactions, 0) as value from datasources")
@@ -64,13 +65,13 @@ def accession_list(s, d):
     return flat.accession_list(m)
 
 
-@query("with x as (select distinct 'order:' || l_orderkey as uri, n_name as organism, p_name as symbol from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey join part on p_partkey = l_partkey where n_name in ('GERMANY', 'FRANCE')) select uri || chr(9) || 'name: ' || uri || '; datasource: orders; organism: ' || organism || '; idtype: name' || chr(9) || string_agg(symbol, chr(9) order by symbol) as value from x group by uri, organism")
+@query("with x as (select distinct 'order:' || l_orderkey as uri, n_name as organism, p_name as symbol from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey join part on p_partkey = l_partkey where n_name in ('NATION_1', 'NATION_7')) select uri || chr(9) || 'name: ' || uri || '; datasource: orders; organism: ' || organism || '; idtype: name' || chr(9) || string_agg(symbol, chr(9) order by symbol) as value from x group by uri, organism")
 def gmt(s, d):
     """SNK5, FIL18: gene-set lines, members and pathway of one species."""
     li = table(s, d, "lineitem").join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(table(s, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     u = B.uri("order", "l_orderkey")
     m = li.select(u.alias("uri"), u.alias("name"), F.lit("orders").alias("datasource"), F.col("n_name").alias("organism"), F.col("n_name").alias("member_organism"), F.lit("name").alias("id_type"), F.col("p_name").alias("symbol"))
-    return flat.gmt_lines(m, ["GERMANY", "FRANCE"])
+    return flat.gmt_lines(m, ["NATION_1", "NATION_7"])
 
 
 @query(f"with {B.GRAPH_SQL} select e.uri, 'bp:' || e.type as type, (select string_agg(distinct value, ';' order by value) from literal l where l.uri = e.uri and prop = 'name') as name from element e where e.type in ('Nation', 'Region', 'Supplier')")

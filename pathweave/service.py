@@ -88,7 +88,7 @@ class Service:
         return search.hits_of(found, self.model.elements, self.model.literals).orderBy("uri").offset(page * self.page_size).limit(self.page_size)
 
     def top_pathways(self) -> DataFrame:
-        return search.hits_of(search.top_pathways(self.documents, self.model.classes), self.model.elements, self.model.literals)
+        return search.hits_of(search.top_pathways(self.documents, self.model.classes, self.model.edges), self.model.elements, self.model.literals)
 
     def fetch(self, *ids: str, sub_pathways: bool = False) -> Model:
         """GRA7."""

@@ -55,7 +55,7 @@ def uniprot_xrefs(entries: DataFrame) -> DataFrame:
     """SCA24: (entry_name, db, id) of the DR lines of kept databases, up to the first ``-`` or id that isn't one."""
     lines = entries.select("entry_name", F.explode(F.split("dr", "\n")).alias("l")).filter(F.trim("l") != "")
     cut = F.transform(F.split(F.regexp_replace("l", r"\.[^.]*$", ""), ";"), lambda v: F.trim(v))
-    x = lines.select("entry_name", F.upper(cut[0]).alias("db"), F.slice(cut, 2, 100).alias("ids")).filter(F.col("db").isin(*DR_DATABASES))
+    x = lines.select("entry_name", F.upper(cut[0]).alias("db"), F.slice(cut, F.lit(2), F.greatest(F.size(cut) - 1, F.lit(0))).alias("ids")).filter(F.col("db").isin(*DR_DATABASES))
     ok: Column = F.lit(".*")
     for db, p in DR_PATTERNS.items():
         ok = F.when(F.col("db") == db, F.lit(p)).otherwise(ok)

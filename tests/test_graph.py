@@ -81,3 +81,16 @@ def test_closure():
     assert "Protein" in closure()["Entity"] and subtypes("smallmolecule") == ["SmallMolecule"]
     with pytest.raises(ValueError):
         subtypes("Nothing")
+
+
+def test_long_chains(spark):
+    ring = [(f"r{i:02d}", "pathwayComponent", f"r{(i + 1) % 60:02d}") for i in range(60)]
+    chain = [(f"c{i:02d}", "pathwayComponent", f"c{i + 1:02d}") for i in range(59)]
+    e = spark.createDataFrame(ring + chain, "src string, prop string, dst string")
+    assert {(r.src, r.dst) for r in e.exceptAll(G.break_cycles(e)).select("src", "dst").collect()} == {("r59", "r00")}
+    c = e.filter("src like 'c%'")
+    one = lambda u: spark.createDataFrame([(u,)], "uri string")
+    assert [r.container for r in G.containers(c, one("c59"), one("c00")).collect()] == ["c00"]
+    assert G.fetch_closure(c, one("c00")).count() == 60
+    m = Model(spark.createDataFrame([(f"c{i:02d}", "Pathway", "x") for i in range(60)], "uri string, type string, datasource string"), c, spark.createDataFrame([], "uri string, prop string, value string"))
+    assert traverse(m, "Pathway/pathwayComponent*:Pathway", one("c00")).count() == 59

@@ -11,6 +11,10 @@ from oracle import compare, connect
 from pathweave import queries
 
 
+#: Queries for words or cases that the smallest tables happen not to have; they have rows at the next size.
+MAY_BE_EMPTY: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def con(data):
     return connect(data)
@@ -20,6 +24,7 @@ def con(data):
 def test_query(spark, con, data, name):
     if name in queries.SQL:
         assert compare(spark, con, queries.QUERIES[name], queries.SQL[name], data) is None
+        assert con.execute(f"select count(*) from ({queries.SQL[name]})").fetchone()[0] > 0 or name in MAY_BE_EMPTY
     else:
         assert queries.QUERIES[name](spark, data).count() >= 0
 
