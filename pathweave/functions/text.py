@@ -122,6 +122,11 @@ def parse_enum(kind: type[Enum], tag: str | None) -> Enum | None:
     return kind.__members__.get((tag or "").strip().upper().replace("-", "_"))
 
 
+def parse_format(tag: str | None) -> Format | None:
+    """SCA16: the format of this name, or of this file suffix (TXT and gmt as well as EXTENDED_BINARY_SIF and GSEA); None if there is none."""
+    return parse_enum(Format, tag) or next((f for f in Format if f.value == (tag or "").strip().lower()), None)
+
+
 def split_arguments(*values: str) -> list[str]:
     """SCA17: repeated and comma-separated arguments as one list, each once, in order."""
     parts = (p.strip() for v in values for p in v.split(","))

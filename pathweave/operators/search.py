@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathweave.functions.ids import local_part, lower_prefix
@@ -12,7 +13,7 @@ from pathweave.functions.text import tokens
 from pathweave.model import Model, subtypes
 from pathweave.operators.graph import containers, fetch_closure
 from pathweave.operators.entities import keyword_literals
-from pathweave.plans.querylang import analyse, condition, parse
+from pathweave.plans.querylang import analyse, condition, parse, scored_terms
 
 PAGE = 100
 #: BM25's usual parameters.
@@ -32,25 +33,47 @@ def search_documents(m: Model) -> DataFrame:
     words = near.join(keyword_literals(m.literals).withColumnRenamed("uri", "child"), "child").select("uri", F.explode(tokens("value")).alias("value"))
     names = m.literals.filter(F.col("prop").isin("name", "displayName", "standardName"))
     names = names.select("uri", "value").unionByName(names.select("uri", F.lower("value").alias("value")))
-    xref = m.edges.filter("prop = 'xref'").select(F.col("src").alias("child"), F.col("dst").alias("x"))
-    xids = near.join(xref, "child").join(m.literals.filter("prop = 'id'").select(F.col("uri").alias("x"), "value"), "x").select("uri", "value")
+    xids = near.join(_xref_ids(m, "UnificationXref", "RelationshipXref").withColumnRenamed("owner", "child"), "child").select("uri", "value")
     xids = xids.unionByName(xids.select("uri", lower_prefix("value").alias("value")))
     up = containers(m.edges, scope, m.of_type("Pathway")).filter("uri <> container")
     up_names = up.join(m.literals.filter(F.col("prop").isin("name", "displayName")).select(F.col("uri").alias("container"), "value"), "container").select("uri", F.lower("value").alias("value"))
-    up_names = up_names.unionByName(up.select("uri", local_part("container", colons=True).alias("value")))
+    up_ids = up.join(_xref_ids(m, "UnificationXref").select(F.col("owner").alias("container"), "value"), "container").select("uri", "value")
+    up_names = up_names.unionByName(up.select("uri", local_part("container", colons=True).alias("value"))).unionByName(up_ids)
     org = near.join(m.edges.filter("prop = 'organism'").select(F.col("src").alias("child"), F.col("dst").alias("value")), "child").select("uri", "value")
     org_names = org.join(m.literals.filter(F.col("prop").isin("name", "displayName", "standardName")).select(F.col("uri").alias("value"), F.col("value").alias("n")), "value").select("uri", F.explode(tokens("n")).alias("value"))
+    # an organism is also found by its taxon id, and by the tissue and cell type it is of
+    kinds = org.select("uri", F.col("value").alias("o")).join(m.edges.filter("prop in ('tissue', 'cellType')").select(F.col("src").alias("o"), F.col("dst").alias("cv")), "o")
+    terms = kinds.join(m.literals.filter("prop = 'term'").select(F.col("uri").alias("cv"), F.col("value").alias("n")), "cv").select("uri", F.explode(tokens("n")).alias("value"))
+    taxa = org.select("uri", F.col("value").alias("owner")).join(_xref_ids(m, "UnificationXref", "RelationshipXref"), "owner").select("uri", "value")
+    org_names = org_names.unionByName(terms).unionByName(taxa)
     src = scope.select("uri", F.col("datasource").alias("value")).filter("value is not null")
+    src_names = src.join(m.literals.filter(F.col("prop").isin("name", "displayName", "standardName")).select(F.col("uri").alias("value"), F.lower("value").alias("n")), "value").select("uri", F.col("n").alias("value"))
     docs = scope.select("uri", "type")
     for df, name in (
         (words, "keywords"), (names, "names"), (xids, "xref_ids"), (up_names, "pathways"), (up.select("uri", F.col("container").alias("value")), "pathway_uris"),
-        (org_names, "organisms"), (org, "organism_uris"), (src.select("uri", F.lower("value").alias("value")), "datasources"), (src, "datasource_uris"),
+        (org_names, "organisms"), (org, "organism_uris"), (src.select("uri", F.lower("value").alias("value")).unionByName(src_names), "datasources"), (src, "datasource_uris"),
     ):
         docs = docs.join(sets(df, name), "uri", "left").withColumn(name, F.coalesce(name, empty))
     counts = member_counts(m)
     return docs.join(counts, "uri", "left").withColumn("uris", F.array("uri")).withColumn("types", F.array(F.lower("type")))
 
 
+def _xref_ids(m: Model, *kinds: str) -> DataFrame:
+    """SCA33: (owner, value): the ids of elements' references of these classes, so not of publications."""
+    x = m.elements.filter(F.col("type").isin(*kinds)).select(F.col("uri").alias("x"))
+    owned = m.edges.filter("prop = 'xref'").select(F.col("src").alias("owner"), F.col("dst").alias("x")).join(x, "x", "left_semi")
+    return owned.join(m.literals.filter("prop = 'id'").select(F.col("uri").alias("x"), "value"), "x").select("owner", "value")
+
+
+def xref_ids(m: Model) -> DataFrame:
+    """(uri, unification, relationship): the ids of elements' own and their entity references' references, one a row."""
+    own = m.elements.select("uri", F.col("uri").alias("owner"))
+    via = m.edges.filter("prop = 'entityReference'").select(F.col("src").alias("uri"), F.col("dst").alias("owner"))
+    none = F.lit(None).cast("string")
+    of = lambda kind: own.unionByName(via).join(_xref_ids(m, kind), "owner")
+    return of("UnificationXref").select("uri", F.col("value").alias("unification"), none.alias("relationship")).unionByName(of("RelationshipXref").select("uri", none.alias("unification"), F.col("value").alias("relationship")))
+
+
 def _descend(edges: DataFrame, scope: DataFrame, depth: int) -> DataFrame:
     """(uri, child): the elements of scope with themselves and what is below them to a depth."""
     e = edges.filter("prop <> 'nextStep'").select(F.col("src").alias("child"), F.col("dst").alias("next"))
@@ -89,6 +112,50 @@ def postings(docs: DataFrame, uri: str, text: str, field: str = "keyword") -> Da
     return g.select(F.lit(field).alias("field"), "term", "uri", "tf", "pos", "doc_len")
 
 
+@dataclass(frozen=True)
+class Index:
+    """IDX6, IDX7: search documents with their inverted index and its statistics (one row: n documents, mean length avg_len)."""
+
+    documents: DataFrame
+    postings: DataFrame
+    stats: DataFrame
+
+    @staticmethod
+    def of(docs: DataFrame) -> Index:
+        """The index of documents' keywords."""
+        each = docs.select("uri", F.size("keywords").alias("doc_len"), F.explode("keywords").alias("term"))
+        p = each.groupBy("term", "uri", "doc_len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        return Index(docs, p, docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("keywords")).alias("avg_len")))
+
+    def write(self, path: str) -> Index:
+        """SNK15: store the index, terms sorted within files so that a search reads few of them; what was there is replaced."""
+        self.documents.write.mode("overwrite").parquet(f"{path}/search_doc")
+        docs = self.documents.sparkSession.read.parquet(f"{path}/search_doc")
+        new = Index.of(docs)
+        new.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/posting")
+        new.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        return open_index(docs.sparkSession, path)
+
+    def with_documents(self, docs: DataFrame) -> Index:
+        """SNK15: documents added; those of the same uri are replaced."""
+        kept = self.documents.join(docs.select("uri"), "uri", "left_anti").select(*self.documents.columns)
+        return Index.of(kept.unionByName(docs))
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """SRC15: a stored index, to read."""
+    return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("search_doc", "posting", "stats")))
+
+
+def ranked(index: Index, query: str, type_: str | None = None, datasources: list[str] | None = None, organisms: list[str] | None = None, classes: dict[str, str] | None = None) -> DataFrame:
+    """SRT1, SRT6: the documents that a query matches, with their BM25 score over the query's keyword terms: 0 where only exact values match."""
+    hits = search(index.documents, query, type_, datasources, organisms, classes)
+    terms = scored_terms(parse(query))
+    if not terms:
+        return hits.withColumn("score", F.lit(0.0))
+    return hits.join(bm25(index.postings, index.stats, terms), "uri", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def facet(values: list[str], column: Column) -> Column:
     """FIL6, SET4: values are OR-ed; one with white space is analysed and its tokens AND-ed, a single word is a lower-case token."""
     out = F.lit(False)
@@ -151,7 +218,7 @@ def hits_of(docs: DataFrame, elements: DataFrame, names: DataFrame) -> DataFrame
     n = names.groupBy("uri").agg(F.min(F.when(F.col("prop") == "standardName", F.col("value"))).alias("std"), F.min(F.when(F.col("prop") == "displayName", F.col("value"))).alias("disp"))
     return docs.join(elements.select("uri"), "uri", "left_semi").join(n, "uri", "left").select(
         "uri", F.col("type").alias("biopax_class"), F.coalesce("std", "disp").alias("name"), F.col("organism_uris").alias("organism"),
-        F.col("datasource_uris").alias("datasource"), F.array_remove("pathway_uris", F.col("uri")).alias("pathway"), F.col("num_participants").alias("size"), "num_processes",
+        F.col("datasource_uris").alias("datasource"), F.array_remove("pathway_uris", F.col("uri")).alias("pathway"), F.col("num_participants").alias("size"), "num_processes", *(["score"] if "score" in docs.columns else []),
     )
 
 
@@ -169,4 +236,4 @@ def drop_documents(index: DataFrame) -> DataFrame:
     return index.filter(F.col("field").isNull())
 
 
-__all__ = ["bm25", "drop_documents", "facet", "fetch_closure", "highlight", "hits_of", "member_counts", "page_of", "postings", "search", "search_documents", "top_pathways", "type_filter"]
+__all__ = ["Index", "open_index", "ranked", "bm25", "drop_documents", "facet", "fetch_closure", "highlight", "hits_of", "member_counts", "page_of", "postings", "search", "search_documents", "top_pathways", "type_filter"]

@@ -177,12 +177,12 @@ def canonical_by_id(s, d):
     return E.canonical(refs, wh, to, s.createDataFrame([], "uri string, type string, id string"))
 
 
-@query("with n as (select lower(p_name) as n, min('part:' || p_partkey) as t, count(*) as k from part group by 1) select 'item:' || p_partkey as uri, t as target from part join n on n.n = lower(p_name) where k = 1")
+@query("with n as (select lower(c_name) as n, min('customer:' || c_custkey) as t, count(*) as k from customer group by 1) select 'item:' || c_custkey as uri, t as target from customer join n on n.n = lower(c_name) where k = 1")
 def by_exact_name(s, d):
-    """JOI6: small molecules by exact name in any case."""
-    p = T(s, d, "part")
-    left = p.select(F.concat(F.lit("item:"), F.col("p_partkey").cast("string")).alias("uri"), F.upper("p_name").alias("name"))
-    return E.by_name(left, p.select(B.uri("part", "p_partkey").alias("uri"), F.col("p_name").alias("name")))
+    """JOI6: elements by exact name in any case."""
+    c = T(s, d, "customer")
+    left = c.select(F.concat(F.lit("item:"), F.col("c_custkey").cast("string")).alias("uri"), F.upper("c_name").alias("name"))
+    return E.by_name(left, c.select(B.uri("customer", "c_custkey").alias("uri"), F.col("c_name").alias("name")))
 
 
 @query(f"""with {MAPPING_SQL} select src_db, src_id, dst_db, dst_id, md5(src_db || '|' || src_id || '|' || dst_db || '|' || dst_id) as doc_id from mapping""")

@@ -23,6 +23,30 @@ def txt_sections(pairs: DataFrame, nodes: DataFrame, sources: DataFrame) -> tupl
     return e.withColumnsRenamed({"a": "participant_a", "relation": "interaction_type", "b": "participant_b"}), n
 
 
+def txt_lines(pairs: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """SNK4: (part, value): extended SIF: part 0 the edges' header, 1 the edges, 2 an empty line, 3 the nodes' header, 4 the nodes."""
+    e, n = txt_sections(pairs, nodes, sources)
+    spark = pairs.sparkSession
+    heads = spark.createDataFrame([(0, "\t".join(c.upper() for c in e.columns)), (2, ""), (3, "\t".join(c.upper() for c in n.columns))], "part int, value string")
+    lines = lambda df, k: df.select(F.lit(k).alias("part"), F.concat_ws("\t", *(F.coalesce(F.col(c), F.lit("")) for c in df.columns)).alias("value"))
+    return heads.unionByName(lines(e, 1)).unionByName(lines(n, 4))
+
+
+def gmt_members(m: Model, refs: DataFrame, id_type: str) -> DataFrame:
+    """AGG10: the rows of gmt_lines: for each pathway the identifiers (refs: uri, ref) of the entities below it that aren't molecules."""
+    from pathweave.operators.graph import containers
+
+    name = m.literals.filter(F.col("prop").isin("displayName", "standardName", "name")).groupBy("uri").agg(F.min_by("value", F.when(F.col("prop") == "displayName", 0).otherwise(1)).alias("label"))
+    organism = m.edges.filter("prop = 'organism'").select(F.col("src").alias("o"), F.col("dst").alias("b")).join(name.withColumnRenamed("uri", "b"), "b", "left").groupBy("o").agg(F.min(F.coalesce("label", "b")).alias("species"))
+    via = m.edges.filter("prop = 'entityReference'").select(F.col("src").alias("uri"), F.col("dst").alias("o"))
+    species = via.unionByName(refs.select("uri", F.col("uri").alias("o"))).join(organism, "o").groupBy("uri").agg(F.min("species").alias("member_organism"))
+    up = containers(m.edges, refs.filter("not molecule").select("uri"), m.of_type("Pathway"))
+    rows = up.join(refs.filter("not molecule").select("uri", F.col("ref").alias("symbol")), "uri").join(species, "uri", "left").drop("uri").withColumnRenamed("container", "uri")
+    rows = rows.join(m.elements.select("uri", "datasource"), "uri").join(name, "uri", "left").join(organism.withColumnRenamed("o", "uri"), "uri", "left")
+    none = F.lit("")
+    return rows.select("uri", F.coalesce("label", "uri").alias("name"), F.coalesce("datasource", none).alias("datasource"), F.coalesce("species", none).alias("organism"), F.coalesce("member_organism", "species", none).alias("member_organism"), F.lit(id_type).alias("id_type"), "symbol")
+
+
 def gmt_lines(members: DataFrame, organisms: list[str] | None = None) -> DataFrame:
     """SNK5, FIL18: gene sets ``uri<TAB>name; datasource; organism; id type<TAB>symbols...`` of members (uri, name, datasource, organism,
     member_organism, id_type, symbol): members of another species than their pathway, and pathways of species not asked for, are left out."""
@@ -66,13 +90,30 @@ def owl_header(base: str) -> str:
     return f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:bp="http://www.biopax.org/release/biopax-level3.owl#" xml:base="{base}">\n<owl:Ontology rdf:about=""><owl:imports rdf:resource="http://www.biopax.org/release/biopax-level3.owl#"/></owl:Ontology>'
 
 
+# The arc classes of SBGN process diagrams that relations stand for; others are an unknown influence.
+ARCS = {"consumption-controlled-by": "consumption", "used-to-produce": "production", "controls-production-of": "production", "catalysis-precedes": "catalysis", "controls-expression-of": "stimulation", "controls-state-change-of": "stimulation", "controls-phosphorylation-of": "stimulation", "controls-transport-of": "stimulation", "controls-transport-of-chemical": "stimulation"}
+SBGN_HEADER = '<?xml version="1.0" encoding="UTF-8"?>\n<sbgn xmlns="http://sbgn.org/libsbgn/0.2"><map language="process description">'
+SBGN_FOOTER, OWL_FOOTER = "</map></sbgn>", "</rdf:RDF>"
+
+
 def sbgn_lines(pairs: DataFrame) -> DataFrame:
-    """SNK6: (value): glyphs and arcs of SBGN-ML for (a, relation, b); no layout."""
+    """SNK6: (value): glyphs and arcs of SBGN-ML for (a, relation, b), to stand between SBGN_HEADER and SBGN_FOOTER; no layout."""
     glyph = lambda c: pairs.select(F.concat(F.lit('<glyph class="macromolecule" id="'), _escaped(c), F.lit('"><label text="'), _escaped(c), F.lit('"/></glyph>')).alias("value"))
-    arcs = pairs.select(F.concat(F.lit('<arc class="'), F.col("relation"), F.lit('" source="'), _escaped("a"), F.lit('" target="'), _escaped("b"), F.lit('"/>')).alias("value"))
+    kind = F.lit("unknown influence")
+    for relation, arc in ARCS.items():
+        kind = F.when(F.col("relation") == relation, arc).otherwise(kind)
+    arcs = pairs.select(F.concat(F.lit('<arc class="'), kind, F.lit('" source="'), _escaped("a"), F.lit('" target="'), _escaped("b"), F.lit('"/>')).alias("value"))
     return glyph("a").unionByName(glyph("b")).unionByName(arcs).distinct()
 
 
+def write_document(lines: DataFrame, path: str, header: str, footer: str) -> None:
+    """SNK1, SNK6: a document in a folder of gzip parts that make one file when joined in order: the header, the lines, the footer."""
+    spark = lines.sparkSession
+    end = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1)
+    for k, df in enumerate((end(header), lines.select("value"), end(footer))):
+        df.write.mode("overwrite").option("compression", "gzip").text(f"{path}/{k}")
+
+
 def datasource_lines(sources: DataFrame) -> DataFrame:
     """SNK10: the TSV summary of sources (identifier, names, description, kind, num_pathways, num_interactions)."""
     n = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0"))

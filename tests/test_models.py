@@ -1,16 +1,20 @@
 """Cleaners, quality rules, the service, plug-ins and streaming upserts on a small model."""
 
 import json
+from xml.etree import ElementTree
 
 import pytest
+from pyspark.sql import functions as F
 
 from pathweave import quality
 from pathweave.clean import providers as C
-from pathweave.model import Model
+from pathweave.model import PARENTS, Model
 from pathweave.operators import entities as E
 from pathweave.operators import interactions as I
+from pathweave.operators import search as S
 from pathweave.operators.search import search_documents
 from pathweave.service import BadRequest, Service, analyze, catalogue
+from pathweave.sinks import flat
 from pathweave.streaming.upserts import upsert_stream
 
 
@@ -97,7 +101,8 @@ def service(spark):
 
 
 def test_service(spark, service):
-    assert [r.uri for r in service.search("atp").collect()] == ["a", "k", "pw", "r"] or "a" in [r.uri for r in service.search("atp").collect()]
+    found = service.search("atp").collect()
+    assert "a" in [r.uri for r in found] and [(-r.score, r.uri) for r in found] == sorted((-r.score, r.uri) for r in found)
     assert [r.name for r in service.search("xrefid:P12345", type_="Protein").collect()] == ["Enzyme"]
     assert set(types(service.fetch("k"))) == {"k", "r", "e", "x", "a", "b"}
     assert [tuple(r) for r in service.traverse("Protein/displayName", "P12345").collect()] == [("e", "Enzyme")]
@@ -107,6 +112,12 @@ def test_service(spark, service):
     refs = spark.createDataFrame([("e", "ENZ", False), ("a", "CHEBI:1", True), ("b", "CHEBI:2", True)], "uri string, ref string, molecule boolean")
     assert {r.value for r in service.convert(service.model, "binary_sif", refs).collect()} == {"CHEBI:1\tconsumption-controlled-by\tENZ", "ENZ\tcontrols-production-of\tCHEBI:2", "CHEBI:1\tused-to-produce\tCHEBI:2"}
     assert all(json.loads(r.value) for r in service.convert(service.model, "JSONLD").collect()) and service.convert(service.model, "sbgn", refs).count() > 3
+    member = spark.createDataFrame([("e", "ENZ", False), ("r", "RX", False)], "uri string, ref string, molecule boolean")
+    assert [r.value for r in service.convert(service.model, "GSEA", member).collect()] == ["pw\tname: pw; datasource: ds; organism: ; idtype: hgnc.symbol\tRX"]
+    txt = [r.value for r in service.convert(service.model, "TXT", refs).orderBy("part", "value").collect()]
+    assert txt[0].startswith("PARTICIPANT_A\t") and any(v.startswith("ENZ\tProteinReference\tEnzyme\tP12345") for v in txt) and "" in txt
+    assert {r.uri for r in service.query_graph("neighborhood", ["P12345"], limit=3, datasources=["nowhere"]).collect()} == {"e"}
+    assert {r.uri for r in service.query_graph("neighborhood", ["P12345"], datasources=["ds"]).collect()} == {"e", "k", "x"}
     for call in (lambda: service.search(" "), lambda: service.query_graph("x", ["a"]), lambda: service.convert(service.model, "x"), lambda: service.traverse("x", "a"), lambda: service.query_graph("commonstream", ["a"], direction="undirected"), lambda: service.resolve("")):
         with pytest.raises(BadRequest):
             call()
@@ -135,3 +146,28 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame(rows[: 2 + i], schema).write.mode("append").parquet(str(tmp_path / "in"))
         upsert_stream(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert [(r.src_id, r.dst_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("P1", "CHEBI:5")]
+
+
+def test_stored_index(spark, service, tmp_path):
+    index = service.index.write(str(tmp_path / "index"))
+    again = S.open_index(spark, str(tmp_path / "index"))
+    assert {r.uri for r in S.ranked(again, "enzyme OR atp").collect()} == {r.uri for r in S.ranked(service.index, "enzyme OR atp").collect()}
+    stored = Service(service.model, again, service.mapping, page_size=1)
+    first, second = stored.search("enzyme OR atp").collect(), stored.search("enzyme OR atp", 1).collect()
+    assert len(first) == len(second) == 1 and first[0].score >= second[0].score and first[0].uri != second[0].uri
+    new = index.documents.filter("uri = 'e'").withColumn("keywords", F.array(F.lit("changed")))
+    updated = index.with_documents(new)
+    assert [r.uri for r in S.ranked(updated, "changed").collect()] == ["e"] and updated.documents.count() == index.documents.count()
+
+
+def test_top_pathways_by_child(spark):
+    docs = spark.createDataFrame([("big", "Pathway", ["up"], 3), ("up", "Pathway", [], 1), ("own", "Pathway", [], 3), ("small", "Pathway", [], 2)], "uri string, type string, pathway_uris array<string>, num_processes int")
+    edges = spark.createDataFrame([("up", "pathwayComponent", "big")], "src string, prop string, dst string")
+    assert {r.uri for r in S.top_pathways(docs, PARENTS, edges).collect()} == {"up", "own"}
+
+
+def test_documents(spark, tmp_path):
+    pairs = spark.createDataFrame([("A", "used-to-produce", "B")], "a string, relation string, b string")
+    flat.write_document(flat.sbgn_lines(pairs), str(tmp_path / "sbgn"), flat.SBGN_HEADER, flat.SBGN_FOOTER)
+    text = "\n".join(r.value for k in range(3) for r in spark.read.text(f"{tmp_path}/sbgn/{k}").collect())
+    assert ElementTree.fromstring(text.split("?>", 1)[1]).find(".//{*}arc").get("class") == "production"
