@@ -54,9 +54,15 @@ def distances(edges: DataFrame, seeds: DataFrame, limit: int | None, scratch: Sc
     return known
 
 
+def _fixed(nodes: DataFrame | None, scratch: Scratch) -> DataFrame | None:
+    """A list of nodes that every hop reads, made once."""
+    return None if nodes is None else scratch.write(nodes.select("uri"))[0]
+
+
 def neighborhood(edges: DataFrame, seeds: DataFrame, limit: int = 1, direction: Direction = Direction.UNDIRECTED, blacklist: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """GRA1: (uri, dist) within limit hops of any seed. BOTHSTREAM is the union of upstream and downstream, each by itself."""
     scratch = Scratch(edges.sparkSession, "hood")
+    blacklist, allowed = _fixed(blacklist, scratch), _fixed(allowed, scratch)
     if direction is Direction.BOTHSTREAM:
         both = [distances(arcs(edges, d), seeds, limit, scratch, None, blacklist, allowed) for d in (Direction.UPSTREAM, Direction.DOWNSTREAM)]
         return both[0].unionByName(both[1]).groupBy("uri").agg(F.min("dist").alias("dist"))
@@ -69,6 +75,7 @@ def paths_from_to(edges: DataFrame, sources: DataFrame, targets: DataFrame, limi
     With shortest_plus k, only walks of the shortest length found plus k. No source gives no node; without targets use paths_between.
     """
     scratch = Scratch(edges.sparkSession, "paths")
+    blacklist, allowed = _fixed(blacklist, scratch), _fixed(allowed, scratch)
     ahead = distances(arcs(edges), sources, limit, scratch, None, blacklist, allowed).select("uri", F.col("dist").alias("f"))
     behind = distances(arcs(edges, Direction.UPSTREAM), targets, limit, scratch, None, blacklist, allowed).select("uri", F.col("dist").alias("b"))
     on = ahead.join(behind, "uri").select("uri", (F.col("f") + F.col("b")).alias("through")).filter(F.col("through") <= limit)
@@ -81,6 +88,7 @@ def paths_from_to(edges: DataFrame, sources: DataFrame, targets: DataFrame, limi
 def paths_between(edges: DataFrame, seeds: DataFrame, limit: int, blacklist: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """GRA2: (uri, through) of the nodes on directed walks of at most limit hops from one group of seeds (group_id, uri) to another."""
     scratch = Scratch(edges.sparkSession, "between")
+    blacklist, allowed = _fixed(blacklist, scratch), _fixed(allowed, scratch)
     ahead = distances(arcs(edges), seeds, limit, scratch, "group_id", blacklist, allowed).select(F.col("group_id").alias("g"), "uri", F.col("dist").alias("f"))
     behind = distances(arcs(edges, Direction.UPSTREAM), seeds, limit, scratch, "group_id", blacklist, allowed).select(F.col("group_id").alias("h"), "uri", F.col("dist").alias("b"))
 
@@ -100,6 +108,7 @@ def common_stream(edges: DataFrame, seeds: DataFrame, limit: int, direction: Dir
     if direction in (Direction.BOTHSTREAM, Direction.UNDIRECTED):
         raise ValueError("a common stream goes one way")
     scratch = Scratch(edges.sparkSession, "stream")
+    blacklist, allowed = _fixed(blacklist, scratch), _fixed(allowed, scratch)
     distinct = seeds.groupBy("group_id").agg(F.sort_array(F.collect_set("uri")).alias("members")).groupBy("members").agg(F.min("group_id").alias("group_id"))
     groups, _ = scratch.write(distinct.select("group_id", F.explode("members").alias("uri")))
     n = groups.select("group_id").distinct().count()
