@@ -44,7 +44,7 @@ def gmt_members(m: Model, refs: DataFrame, id_type: str) -> DataFrame:
     rows = up.join(refs.filter("not molecule").select("uri", F.col("ref").alias("symbol")), "uri").join(species, "uri", "left").drop("uri").withColumnRenamed("container", "uri")
     rows = rows.join(m.elements.select("uri", "datasource"), "uri").join(name, "uri", "left").join(organism.withColumnRenamed("o", "uri"), "uri", "left")
     none = F.lit("")
-    return rows.select("uri", F.coalesce("label", "uri").alias("name"), F.coalesce("datasource", none).alias("datasource"), F.coalesce("species", none).alias("organism"), F.coalesce("member_organism", "species", none).alias("member_organism"), F.lit(id_type).alias("id_type"), "symbol")
+    return rows.select("uri", F.coalesce("label", "uri").alias("name"), F.coalesce("datasource", none).alias("datasource"), F.coalesce("species", "member_organism", none).alias("organism"), F.coalesce("member_organism", "species", none).alias("member_organism"), F.lit(id_type).alias("id_type"), "symbol")
 
 
 def gmt_lines(members: DataFrame, organisms: list[str] | None = None) -> DataFrame:
