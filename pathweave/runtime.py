@@ -117,19 +117,23 @@ def heavy_keys(df: DataFrame, key: str, total: int | None = None) -> list:
     return [r[0] for r in most if r[1] > n // HEAVY]
 
 
-def lookup(left: DataFrame, key: str, table: DataFrame, table_key: str, heavy: list | None, how: str = "inner") -> DataFrame:
+def lookup(left: DataFrame, key: str, table: DataFrame, table_key: str, heavy: list | None, how: str = "inner", hashed_join: bool = False) -> DataFrame:
     """Join left with a table that is unique on its key, with the rows of left's heavy keys salted.
 
     heavy has at most some thousand keys. Their rows of left go to SALTS parts by a hash of the row, their rows of the table to all of
-    these: one shuffle, and no task gets more than a share of a key.
+    these: one shuffle, and no task gets more than a share of a key. hashed_join spares the sort where both sides are large and a
+    partition of the table, which is even as its key is unique, fits in memory.
     """
     cols = [c for c in table.columns if c != table_key]
     t = table.withColumnRenamed(table_key, "__k")
     if not heavy:
+        t = t.hint("shuffle_hash") if hashed_join else t
         return left.join(t, left[key] == t["__k"], how).select(*left.columns, *cols)
     none = F.lit(0).cast("bigint")
     salted = left.withColumn("__s", F.when(F.col(key).isin(heavy), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(none))
-    parts = t.withColumn("__t", F.explode(F.sequence(none, F.when(F.col("__k").isin(heavy), F.lit(SALTS - 1).cast("bigint")).otherwise(none))))
+    more = t.filter(F.col("__k").isin(heavy)).withColumn("__t", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    parts = t.withColumn("__t", none).unionByName(more)
+    parts = parts.hint("shuffle_hash") if hashed_join else parts
     return salted.join(parts, (F.col(key) == F.col("__k")) & (F.col("__s") == F.col("__t")), how).select(*left.columns, *cols)
 
 
