@@ -82,13 +82,13 @@ def _followed(labels: DataFrame, path: str, heavy: list[int], scratch: Scratch)
     return out, o_path
 
 
-def _grown(edges: DataFrame, labels: DataFrame, path: str, heavy: list[int], hops: int | None, scratch: Scratch) -> tuple[DataFrame, str]:
+def _grown(edges: DataFrame, labels: DataFrame, path: str, heavy: list[int], hops: int | None, scratch: Scratch, large: bool = False) -> tuple[DataFrame, str]:
     """(v, c) after the waves have grown by so many hops, the first of which is made; without hops until no vertex is reached sooner."""
     labels = labels.select("v", "c", "key", F.lit(True).alias("new"))
     hop = 1
     while hops is None or hop < hops:
         senders = labels.filter("new").select("v", "c", "key")
-        sent = lookup(_both(edges).select(F.col("w").alias("s"), F.col("v").alias("t")), "s", senders, "v", heavy)
+        sent = lookup(_both(edges).select(F.col("w").alias("s"), F.col("v").alias("t")), "s", senders, "v", heavy, hashed_join=large)
         waves = sent.select(F.col("t").alias("v"), "c", (F.col("key") + 1).alias("key"), F.lit(None).cast("double").alias("was"))
         best = labels.select("v", "c", "key", F.col("key").alias("was")).unionByName(waves).groupBy("v").agg(F.min_by("c", "key").alias("c"), F.min("key").alias("key"), F.max("was").alias("was"))
         old = path
@@ -112,10 +112,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, hops: int | None =
     while n:
         labels, path = _first_arrivals(e, level, scratch)
         heavy = _heavy(labels, n)
-        labels, path = _grown(e, labels, path, heavy, hops, scratch) if level else _followed(labels, path, heavy, scratch)
+        labels, path = _grown(e, labels, path, heavy, hops, scratch, level < 2) if level else _followed(labels, path, heavy, scratch)
         names = labels.select("v", F.col("c").alias("cv"))
-        one = lookup(e, "a", names.withColumnRenamed("cv", "ca"), "v", heavy).select("ca", "b")
-        between = lookup(one, "b", names.withColumnRenamed("cv", "cb"), "v", heavy).filter("ca <> cb")
+        # the first levels are large, and their labels two numbers a vertex; the others are small enough for Spark to choose
+        one = lookup(e, "a", names.withColumnRenamed("cv", "ca"), "v", heavy, hashed_join=level < 2).select("ca", "b")
+        between = lookup(one, "b", names.withColumnRenamed("cv", "cb"), "v", heavy, hashed_join=level < 2).filter("ca <> cb")
         left = between.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
         levels.append((labels, path))
         old = e_path
@@ -127,9 +128,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, hops: int | None =
     if not levels:
         return None
     comp, comp_path = levels[-1][0].withColumnRenamed("c", "comp"), levels[-1][1]
-    for labels, path in reversed(levels[:-1]):
+    for k, (labels, path) in reversed(list(enumerate(levels[:-1]))):
         up = comp.withColumnRenamed("v", "c")
-        out, out_path = scratch.write(lookup(labels, "c", up, "c", heavy_keys(labels, "c"), "left").select("v", F.coalesce("comp", "c").alias("comp")))
+        out, out_path = scratch.write(lookup(labels, "c", up, "c", heavy_keys(labels, "c"), "left", k == 0).select("v", F.coalesce("comp", "c").alias("comp")))
         scratch.drop(path, comp_path)
         comp, comp_path = out, out_path
     return comp
@@ -164,6 +165,6 @@ def group_records(mappings: DataFrame) -> DataFrame:
     comp = connected_components(edges, scratch)
     if comp is None:
         return vertices.select("rec_db", "rec_id", F.concat_ws("|", "rec_db", "rec_id").alias("group_key"))
-    named, _ = scratch.write(vertices.join(comp, "v", "left").select(F.coalesce("comp", "v").alias("comp"), "rec_db", "rec_id"))
+    named, _ = scratch.write(vertices.join(comp.hint("shuffle_hash"), "v", "left").select(F.coalesce("comp", "v").alias("comp"), "rec_db", "rec_id"))
     least = named.groupBy("comp").agg(F.min(F.concat_ws("|", "rec_db", "rec_id")).alias("group_key"))
     return lookup(named, "comp", least, "comp", heavy_keys(named, "comp")).select("rec_db", "rec_id", "group_key")
