@@ -77,7 +77,7 @@ def _followed(labels: DataFrame, path: str, heavy: list[int], scratch: Scratch)
         between, b_path, seen = _counted(more.select("w", F.coalesce("f", "further").alias("further"), F.col("f").isNotNull().alias("moved")), scratch, moved=F.count_if("moved"))
         scratch.drop(old)
     ends = between.select("w", "further")
-    out, o_path = scratch.write(lookup(labels.select("v", "c"), "c", ends, "w", heavy, "left").select("v", F.coalesce("further", "c").alias("c")))
+    out, o_path = scratch.write(lookup(labels.select("v", "c"), "c", ends, "w", heavy, "left", True).select("v", F.coalesce("further", "c").alias("c")))
     scratch.drop(path, b_path)
     return out, o_path
 
