@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from pathweave.runtime import Scratch
 
+#: Refs of a class that are paired with those of another at once.
+BLOCK = 256
+
 
 def _role(roles: DataFrame, role: str, molecule: bool | None, side: str) -> DataFrame:
     r = roles.filter(F.col("role") == role)
@@ -62,15 +65,43 @@ def controls_expression_of(r: DataFrame) -> DataFrame:
     return _pairs(_role(r, "controller", False, "a").join(_role(r, "product", False, "b"), "reaction"), "a_ref", "controls-expression-of", "b_ref")
 
 
+def _precedes(who: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of (ref, chemical, made, lo, hi), the first and last reaction in which ref makes or uses a chemical: the makers' classes (class, chemicals,
+    members with not_b), the users' classes, which classes share a chemical, and the pairs (a, b) of theirs that one and the same reaction makes.
+
+    Refs of equal chemicals are one class, so pairs are found once for two classes and not once for each chemical.
+    """
+    made, used = who.filter("made").drop("made"), who.filter("not made").drop("made")
+    sets = lambda w, side: w.groupBy(F.col("ref").alias(side)).agg(F.sort_array(F.collect_set("chemical")).alias(f"{side}_chemicals"))
+    makers, users = sets(made, "a"), sets(used, "b")
+    # a reaction feeding itself counts only with another one: pairs for which all shared chemicals come from one that does
+    sole = lambda w, side: w.filter("lo = hi").select(F.col("ref").alias(side), "chemical", "lo")
+    fed = sole(made, "a").join(sole(used, "b"), ["chemical", "lo"]).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    fed = fed.join(makers, "a").join(users, "b").filter(F.size(F.array_intersect("a_chemicals", "b_chemicals")) == F.col("n")).select("a", "b")
+    makers = makers.join(fed.groupBy("a").agg(F.collect_list("b").alias("not_b")), "a", "left")
+    a = makers.groupBy("a_chemicals").agg(F.min("a").alias("a_class"), F.collect_list(F.struct("a", "not_b")).alias("a_members"))
+    b = users.groupBy("b_chemicals").agg(F.min("b").alias("b_class"), F.collect_list("b").alias("b_members"))
+    by = lambda c, side: c.select(f"{side}_class", F.explode(f"{side}_chemicals").alias("chemical"))
+    return a, b, by(a, "a").join(by(b, "b"), "chemical").select("a_class", "b_class").distinct(), fed
+
+
+def _precedes_pairs(who: DataFrame) -> DataFrame:
+    """Pairs of two classes block by block, the blocks dealt out evenly; each pair comes once."""
+    a, b, links, _ = _precedes(who)
+    blocks = lambda c, side: c.select(f"{side}_class", F.explode(F.expr(f"transform(sequence(0, (size({side}_members) - 1) div {BLOCK}), i -> slice({side}_members, int(i) * {BLOCK} + 1, {BLOCK}))")).alias(f"{side}_block"))
+    conf = who.sparkSession.conf
+    parts = max(int(conf.get("spark.sql.shuffle.partitions")), 3 * who.sparkSession.sparkContext.defaultParallelism)
+    j = links.join(blocks(a, "a"), "a_class").join(blocks(b, "b"), "b_class").select("a_block", "b_block").repartition(parts)
+    j = j.select(F.explode("a_block").alias("x"), "b_block").select("x.a", "x.not_b", F.explode("b_block").alias("b"))
+    return j.filter("a <> b and (not_b is null or not array_contains(not_b, b))").select("a", F.lit("catalysis-precedes").alias("relation"), "b")
+
+
 def catalysis_precedes(r: DataFrame) -> DataFrame:
     """SIF5: A controls a reaction that makes a chemical which another reaction, controlled by B, takes in."""
-    made = _role(r, "controller", False, "a").join(_role(r, "right", True, "m"), "reaction").select("a_ref", "m_ref", F.col("reaction").alias("r1")).distinct()
-    used = _role(r, "controller", False, "b").join(_role(r, "left", True, "n"), "reaction").select("b_ref", "n_ref", F.col("reaction").alias("r2")).distinct()
-    # who makes and who uses each chemical is small against the reactions; a reaction feeding itself counts only with another one
-    a = made.groupBy("a_ref", "m_ref").agg(F.min("r1").alias("r1"), F.max("r1").alias("r1_most"))
-    b = used.groupBy("b_ref", "n_ref").agg(F.min("r2").alias("r2"), F.max("r2").alias("r2_most"))
-    j = a.join(b, F.col("m_ref") == F.col("n_ref")).filter((F.col("r1") != F.col("r1_most")) | (F.col("r2") != F.col("r2_most")) | (F.col("r1") != F.col("r2")))
-    return _pairs(j, "a_ref", "catalysis-precedes", "b_ref")
+    controllers = r.filter("role = 'controller' and not molecule").select("reaction", "ref").distinct()
+    chemicals = r.filter("role in ('left', 'right') and molecule").select("reaction", F.col("ref").alias("chemical"), (F.col("role") == "right").alias("made")).distinct()
+    who = controllers.join(chemicals, "reaction").filter("ref is not null and chemical is not null").groupBy("ref", "chemical", "made").agg(F.min("reaction").alias("lo"), F.max("reaction").alias("hi"))
+    return _precedes_pairs(Scratch(r.sparkSession, "precedes").write(who)[0])
 
 
 def in_complex_with(r: DataFrame) -> DataFrame:
