@@ -160,20 +160,110 @@ RELATIONS = {
 DEFAULT = tuple(k for k in RELATIONS if k != "neighbor-of")
 
 
-def infer(roles: DataFrame, relations: tuple[str, ...] = DEFAULT, blacklist: DataFrame | None = None) -> DataFrame:
-    """(a, relation, b), distinct, of these relations, without refs of the blacklist (ref)."""
+ROLES, CHANGES = ("left", "right", "controller", "product", "participant", "component"), ("state", "location", "phospho")
+
+
+def _bits(molecule: bool, *what: str) -> int:
+    """A bit for each role, and for each thing that a reaction changes, of proteins and of chemicals."""
+    return sum(1 << (2 * (ROLES + CHANGES).index(w) + molecule) for w in what)
+
+
+_CONTROL = _bits(False, "controller")
+#: What a and b are in the same reaction, and whether a pair's order is free (then a is the smaller). Catalysis-precedes needs two of these.
+ENDS = {
+    "controls-state-change-of": (_CONTROL, _bits(False, "state"), False), "controls-transport-of": (_CONTROL, _bits(False, "location"), False),
+    "controls-phosphorylation-of": (_CONTROL, _bits(False, "phospho"), False), "controls-expression-of": (_CONTROL, _bits(False, "product"), False),
+    "in-complex-with": (_bits(False, "component"), _bits(False, "component"), True), "interacts-with": (_bits(False, "participant"), _bits(False, "participant"), True),
+    "neighbor-of": (*[_bits(False, "left", "right", "controller", "product", "participant")] * 2, True), "consumption-controlled-by": (_bits(True, "left"), _CONTROL, False),
+    "controls-production-of": (_CONTROL, _bits(True, "right"), False), "controls-transport-of-chemical": (_CONTROL, _bits(True, "location"), False),
+    "chemical-affects": (_bits(True, "left", "controller"), _bits(False, "state"), False), "reacts-with": (_bits(True, "left"), _bits(True, "left"), True),
+    "used-to-produce": (_bits(True, "left"), _bits(True, "right"), False),
+}
+#: Who makes a chemical, and a chemical with who uses it.
+MAKES, USES = (_CONTROL, _bits(True, "right")), (_bits(True, "left"), _CONTROL)
+
+
+def _ends(roles: DataFrame) -> DataFrame:
+    """(reaction, ref, bits): all that a ref is in a reaction."""
+    r = roles.filter(F.col("role").isin(*ROLES)).dropna(subset=["reaction", "ref", "molecule"])
+    bit = F.coalesce(*(F.when((F.col("role") == x) & (F.col("molecule") == m), F.lit(_bits(m, x))) for x in ROLES for m in (False, True)))
+    at = lambda f, side, what: f(F.when(F.col("role") == side, F.col(what))).alias(f"{f.__name__}_{side}_{what}")
+    sides = r.filter("role in ('left', 'right')").groupBy("reaction", "ref", "molecule").agg(*(at(f, x, w) for w in CHANGES for x in ("left", "right") for f in (F.min, F.max)))
+    # a value on the left and another one on the right: both sides have some, and not all are the same one
+    differs = lambda w: f"min_left_{w} is not null and min_right_{w} is not null and not (min_left_{w} = max_left_{w} and min_right_{w} = max_right_{w} and min_left_{w} = min_right_{w})"
+    changed = sum((F.when(F.expr(differs(w)), F.when(F.col("molecule"), _bits(True, w)).otherwise(_bits(False, w))).otherwise(0) for w in CHANGES), F.lit(0))
+    both = r.select("reaction", "ref", bit.alias("bits")).unionByName(sides.select("reaction", "ref", changed.alias("bits")).filter("bits > 0"))
+    return both.groupBy("reaction", "ref").agg(F.bit_or("bits").alias("bits"))
+
+
+def _found(ends: DataFrame, relations: list[str], chemicals: bool) -> DataFrame:
+    """(a, b, found, ...) from one join of the reactions' refs: a bit for each relation; with chemicals, also the first and last reaction in which a
+    makes b, or a is used by b.
+
+    Relations with the same end a are a slot, and refs meet in a slot only: all that meet are related (but for order and equal refs).
+    """
+    has = lambda bits, of: F.col(of).bitwiseAND(bits) != 0
+    slots: dict[int, int] = {}
+    for x, y in [ENDS[k][:2] for k in relations] + [MAKES, USES] * chemicals:
+        slots[x] = slots.get(x, 0) | y
+    number = {x: k for k, x in enumerate(slots)}
+    side = lambda masks, *more: ends.select("reaction", *more, F.explode(F.array_compact(F.array(*(F.when(has(m, "bits"), k) for k, m in enumerate(masks))))).alias("slot"))
+    j = side(slots, F.col("ref").alias("a")).join(side(slots.values(), F.col("ref").alias("b"), F.col("bits").alias("b_bits")), ["reaction", "slot"])
+    meets = lambda x, y: (F.col("slot") == number[x]) & has(y, "b_bits")
+    found = F.lit(0)
+    for k, name in enumerate(relations):
+        x, y, free = ENDS[name]
+        found = found.bitwiseOR(F.when(meets(x, y) & (F.col("a") < F.col("b") if free else F.col("a") != F.col("b")), 1 << k).otherwise(0))
+    ways = {"makes": meets(*MAKES), "uses": meets(*USES)} if chemicals else {}
+    j = j.select("a", "b", "reaction", found.alias("found"), *(c.alias(w) for w, c in ways.items())).filter(" or ".join(["found > 0", *ways]))
+    spans = [f(F.when(F.col(w), F.col("reaction"))).alias(f"{w}_{n}") for w in ways for n, f in (("lo", F.min), ("hi", F.max))]
+    return j.groupBy("a", "b").agg(F.bit_or("found").alias("found"), *spans)
+
+
+def _inferred(roles: DataFrame, relations: tuple[str, ...], blacklist: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, relation, b) without those of catalysis-precedes, and the rows that these follow from, if it is asked for."""
     if blacklist is not None:
         roles = roles.join(blacklist, "ref", "left_anti")
-    if len(relations) > 1:
-        # every relation reads the roles twice or more: they are made once, a reaction's rows together
-        roles, _ = Scratch(roles.sparkSession, "roles").write(roles.distinct())
-    out = None
-    for name in relations:
-        p = RELATIONS[name](roles)
-        out = p if out is None else out.unionByName(p)
-    if out is None:
+    if not relations:
         raise ValueError("no relation")
-    return out
+    direct, chemicals = [k for k in dict.fromkeys(relations) if k != "catalysis-precedes"], "catalysis-precedes" in relations
+    # every relation reads the roles: they, what refs are in reactions, and what pairs are, are each made once
+    scratch = Scratch(roles.sparkSession, "roles")
+    kept, at = scratch.write(roles)
+    ends, then = scratch.write(_ends(kept))
+    scratch.drop(at)
+    pairs, _ = scratch.write(_found(ends, direct, chemicals))
+    scratch.drop(then)
+    names = F.array_compact(F.array(*(F.when(F.col("found").bitwiseAND(1 << k) != 0, F.lit(name)) for k, name in enumerate(direct)))) if direct else F.array().cast("array<string>")
+    out = pairs.filter("found > 0").select("a", F.explode(names).alias("relation"), "b")
+    if not chemicals:
+        return out, None
+    who = [
+        pairs.filter(f"{w}_lo is not null").select(F.col(ref).alias("ref"), F.col(chemical).alias("chemical"), F.lit(w == "makes").alias("made"), F.col(f"{w}_lo").alias("lo"), F.col(f"{w}_hi").alias("hi"))
+        for w, ref, chemical in (("makes", "a", "b"), ("uses", "b", "a"))
+    ]
+    return out, who[0].unionByName(who[1])
+
+
+def infer(roles: DataFrame, relations: tuple[str, ...] = DEFAULT, blacklist: DataFrame | None = None) -> DataFrame:
+    """(a, relation, b), distinct, of these relations, without refs of the blacklist (ref)."""
+    out, who = _inferred(roles, relations, blacklist)
+    return out if who is None else out.unionByName(_precedes_pairs(who))
+
+
+def counts(roles: DataFrame, relations: tuple[str, ...] = DEFAULT, blacklist: DataFrame | None = None) -> DataFrame:
+    """(relation, n): how many pairs infer gives of each relation that has some. Those of catalysis-precedes are counted by classes."""
+    out, who = _inferred(roles, relations, blacklist)
+    n = out.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    if who is None:
+        return n
+    a, b, links, fed = _precedes(who)
+    size = lambda c, side: c.select(f"{side}_class", F.size(f"{side}_members").cast("bigint").alias(f"{side}_n"))
+    own = who.filter("made").join(who.filter("not made").select("ref", "chemical"), ["ref", "chemical"]).select("ref").distinct()
+    all_ = links.join(size(a, "a"), "a_class").join(size(b, "b"), "b_class").select(F.expr("a_n * b_n").alias("n"))
+    # less each ref that follows itself, and what only a reaction's own chemicals link
+    less = own.select(F.lit(-1).cast("bigint").alias("n")).unionByName(fed.select(F.lit(-1).cast("bigint").alias("n")))
+    return n.unionByName(all_.unionByName(less).agg(F.sum("n").alias("n")).filter("n > 0").select(F.lit("catalysis-precedes").alias("relation"), "n"))
 
 
 def roles_of(m, refs: DataFrame) -> DataFrame:
